@@ -7,7 +7,9 @@ the odds that keep each expectation, until one fraction is 0 or 1; mass is
 measured in words, so the words a source takes stay exact up to its last
 document. Documents meet within buckets of bounded size; what each bucket leaves
 open, one document, goes to the next level, where buckets are grouped again: a
-reduction tree of depth log(documents) / log(bucket).
+reduction tree of depth log(documents) / log(bucket). A source's last open document
+takes the nearer whole number, and settled documents that the last level holds make
+up for what that misses, each between the whole numbers next to its fraction.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the
 last; a source without words has target 0 and takes nothing; rows that repeat a
@@ -93,7 +95,18 @@ def _rounder(level: int, seed: int, last: bool):
         open_ = np.zeros(len(pdf), bool)
         q = np.zeros(len(pdf))
         if held >= 0 and last:
-            copies[held] += int(u[-1] < mass)
+            copies[held] += int(mass > 0.5)
+            missed = (mass - int(mass > 0.5)) * float(pdf["size"].iloc[held])
+            steps = pdf["size"].to_numpy() * (1.0 - 2 * done)
+            steps[(p <= 1e-12) | (p >= 1 - 1e-12)] = 0
+            steps[held] = 0
+            for _ in range(64):
+                j = int(np.argmin(np.abs(missed - steps)))
+                if abs(missed - steps[j]) >= abs(missed):
+                    break
+                copies[j] += int(np.sign(steps[j]))
+                missed -= steps[j]
+                steps[j] = -steps[j]
         elif held >= 0:
             open_[held], q[held] = True, mass
         return pd.DataFrame({"doc_id": pdf.doc_id, "source_no": pdf.source_no, "size": pdf["size"], "source_size": pdf.source_size, "target": pdf.target, "n_docs": pdf.n_docs, "copies": copies, "p": q, "open": open_})

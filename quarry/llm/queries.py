@@ -17,6 +17,36 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.digest import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.linededup import dedup_lines
 
@@ -24,12 +54,24 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.urlfilter import filter_urls
 
     return filter_urls(table(spark, sf_dir, "pages"), ALLOW, BLOCK)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
