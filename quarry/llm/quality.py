@@ -152,9 +152,22 @@ def _score(shared):
     return fn
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs (doc_id, text); learns from labels (doc_id, quality)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _keep(shared, text: int, threshold: float):
+    def fn(batches):
+        w, b = shared.value
+        for batch in batches:
+            raw, off = buffers(batch.column(text))
+            for i, j in pieces(off, PIECE):
+                rows = features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                odds = np.array([float(w[x].sum()) + b for x in rows])
+                yield batch.slice(i, j - i).filter(pa.array(odds >= np.log(threshold / (1 - threshold))))
+
+    return fn
+
+
+def fitted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
+    """Weights and bias learned from labels (doc_id, quality) of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     usable = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id").cast("long")))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
     n = usable.count()
@@ -164,6 +177,17 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     drawn = drawn.sort_by("doc_id")
     flat = drawn.column("features").combine_chunks() if drawn.num_rows else None
     rows = [flat[i].values.to_numpy() for i in range(drawn.num_rows)]
-    model = fit(rows, drawn.column("label").to_numpy().astype(np.int64) if drawn.num_rows else np.zeros(0, np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return fit(rows, drawn.column("label").to_numpy().astype(np.int64) if drawn.num_rows else np.zeros(0, np.int64))
+
+
+def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row of docs (doc_id, text); learns from labels (doc_id, quality)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, max_train))
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(shared), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least threshold; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, max_train))
+    return docs.mapInArrow(_keep(shared, docs.columns.index("text"), threshold), docs.schema)
