@@ -80,7 +80,7 @@ def match_lengths(item: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarra
 
 def tile(item: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Tiles (place in item, place in doc, words), longest first, from the seeds at p and q."""
-    heap = [(-int(n), int(x), int(y)) for n, x, y in zip(match_lengths(item, doc, p, q), p, q)]
+    heap = [(-int(n), int(x), int(y)) for n, x, y in zip(match_lengths(item, doc, p, q), p, q) if n >= least]
     heapq.heapify(heap)
     used_p, used_q, out = np.zeros(len(item), bool), set(), []
     while heap:
