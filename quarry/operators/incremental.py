@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,11 +23,11 @@ def number_chunks(chunks: DataFrame) -> DataFrame:
     """chunk_id by order of path (part by part), then span, without sorting all rows in one task.
 
     Rows are dealt in ranges; a range's first number is the count of those before it.
+    The dealt rows are persisted until the session clears its cache.
     """
     order = [F.split("file_path", "/"), F.col("first_character_index"), F.col("last_character_index")]
     dealt = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
-    from pyspark.sql import Window
-
+    dealt = dealt.persist()  # both uses must see the same ranges
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return dealt.join(F.broadcast(starts.select("_p", "_start")), "_p").select((F.col("_start") + F.col("_i") + 1).alias("chunk_id"), *chunks.columns)

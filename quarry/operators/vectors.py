@@ -49,7 +49,7 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_bytes: in
     hits = None
     for b in range(n):
         block = queries.filter(F.pmod(F.xxhash64("question_id"), F.lit(n)) == b).toPandas()
-        matrix = np.array(block.embedding.tolist(), np.float64).reshape(len(block), -1)
+        matrix = np.array(block.embedding.tolist(), np.float64)
         shared = vectors.sparkSession.sparkContext.broadcast((block.question_id.to_numpy(), matrix))
         some = vectors.select(F.col("chunk_id").cast("long"), "embedding").mapInArrow(_best(shared, max(0, k)), "question_id string, chunk_id long, score double")
         hits = some if hits is None else hits.unionByName(some)

@@ -66,9 +66,10 @@ def write(spark: SparkSession, index_dir: str, documents: DataFrame, chunks: Dat
     documents.select("file_path", "content").write.parquet(f"{at}/documents")
     chunks.select("chunk_id", "file_path", "first_character_index", "last_character_index", "content").write.parquet(f"{at}/chunks")
     manifest.write.parquet(f"{at}/manifest")
-    built = bm25.build(spark.read.parquet(f"{at}/chunks"))
-    built.postings.repartition("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
-    terms, corpus = bm25.statistics(spark.read.parquet(f"{at}/chunks").agg(F.count(F.lit(1)).alias("n")), spark.read.parquet(f"{at}/postings"))
+    read = spark.read.parquet(f"{at}/chunks")
+    # Sorted by term, a lookup of few terms skips most row groups.
+    bm25.postings_of(bm25.texts_of(read)).repartition("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
+    terms, corpus = bm25.statistics(read.agg(F.count(F.lit(1)).alias("n")), spark.read.parquet(f"{at}/postings"))
     terms.write.parquet(f"{at}/term_stats")
     corpus.write.parquet(f"{at}/corpus_stats")
     _publish(spark, index_dir, number)

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.sources import schemas
 
@@ -53,7 +54,8 @@ def manifest_of(files: DataFrame) -> DataFrame:
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """question_id, question, sources, answer, pos of a dataset: an object with rag_questions, or a list. Malformed files have no rows; missing ids are drawn."""
-    both = spark.read.schema(schemas.DATASET.add("question_id", "string").add("question", "string").add("sources", schemas.DATASET["rag_questions"].dataType.elementType["sources"].dataType).add("answer", "string")).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+    either = StructType([*schemas.DATASET, *schemas.ANSWERED_QUESTION])
+    both = spark.read.schema(either).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
     one = F.struct("question_id", "question", "sources", "answer")
     rows = both.withColumn("at", F.monotonically_increasing_id()).select("at", F.posexplode(F.coalesce("rag_questions", F.when(F.col("question").isNotNull(), F.array(one)), F.array().cast(schemas.DATASET["rag_questions"].dataType))))
     return rows.select(F.coalesce("col.question_id", F.uuid()).alias("question_id"), "col.question", "col.sources", "col.answer", F.struct("at", "pos").alias("pos"))
