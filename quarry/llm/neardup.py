@@ -8,14 +8,21 @@ long ones. Bands of 5 registers give candidate pairs; the Jaccard estimate,
 corrected for chance collisions of compressed registers, drops those that are far
 off; the rest are confirmed on the full sets.
 
-Documents of equal sets are collapsed first. Within a band's bucket no set of all
-pairs is made at once: the bucket's least member is compared with all others, then
-buckets whose members are still in several components go on, with more and more
-members (8, 64, 512, ...) compared with those of other components, largest
-component last, until each bucket is one component or all its pairs across
-components are tested. So a bucket of near copies costs one pair a member, and no
-link within a bucket is lost. Bands miss a pair of similarity 0.8 with probability
-(1 - 0.8^5)^40, about 1e-7.
+Documents of equal sets are collapsed first. Within a bucket all pairs are never
+made. Two members, chosen by hash, are compared with each other member; the members
+of buckets with the same first one are a group. Where few members are left outside
+the group's largest component, they are compared with its other components.
+Otherwise let H be the union of some sets of that component. A link of x with y takes
+4/9 (|x| + |y|) shared elements; |y| >= s, the group's smallest size, and |x & H| of
+them at most lie in H, so x and y share at least d = 4/9 (|x| + s) - |x & H| elements
+outside H. A member x that is left and has d > 0 is dropped if it has fewer; else it
+meets those that share one of all but d - 1 of its elements outside H, its rarest, in
+a smaller bucket for each such element. A member with d <= 0 lies close to H; it is
+compared with H's sets and, if that doesn't link it, goes on to the next round, with
+others. After some rounds whatever is left is compared directly, so no link within a
+bucket is lost. Near copies with edits of their own share too little outside H, so a
+bucket of them costs a few pairs a member. Bands miss a pair of similarity 0.8 with
+probability (1 - 0.8^5)^40, 1e-7.
 
 Defined cases: a text without words or a null text has an empty set, linked with
 nothing; fewer than k words are one shingle; rows that repeat a doc_id are one
@@ -27,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Words, _Q, buffers, mix, pieces, save
@@ -35,8 +42,12 @@ from quarry.llm.common import Words, _Q, buffers, mix, pieces, save
 P_BITS, MANTISSA, BANDS, BAND = 8, 10, 40, 5
 M = 1 << P_BITS
 PIECE = 1 << 20
-#: Hubs of a bucket in the second round; eight times as many in each further one.
-HUBS = 8
+#: So many left of a group are compared with all its members.
+FEW = 16
+#: Sets in H, about; and the rounds after which what is left is compared directly.
+UNION, ROUNDS = 10, 4
+#: Tables of ids of at most so many rows (8 to 16 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -163,72 +174,147 @@ def _likely(threshold: float):
     return fn
 
 
+def _is_flat(e: DataFrame) -> bool:
+    """Has each u one edge, to a v that is no u?"""
+    nodes = e.select(F.col("u").alias("x"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("ups"), F.lit(1).alias("downs")))
+    nodes = nodes.groupBy("x").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs"))
+    return nodes.filter("ups > 1 or ups = 1 and downs = 1").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """id, label of each node of edges (a, b): label is the least id of its component. Alternates large and small stars, all in tables."""
+    """id, label of each node of edges (a, b) but the least of a component, which is the label. Alternates large and small stars, all in tables."""
     e = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
-    before = None
-    while True:
+    while not _is_flat(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = save(small.filter("u <> v").distinct(), name)
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     return e.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
-def _confirm(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links (a, b) among pairs (a, b)."""
-    one = sketch.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    two = sketch.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
+def _among(df: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """The rows of df whose doc_id is among ids (doc_id), at most so many."""
+    ids = ids.distinct()
+    return df.join(F.broadcast(ids) if most <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, most: int, k: int) -> DataFrame:
+    """id, members of the documents among ids."""
+    return save(_among(docs, ids, most).mapInArrow(_sets(k), "id long, members array<long>"), "near-sets")
+
+
+def _confirm(pairs: DataFrame, n: int, sketch: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links (a, b) among n saved pairs (a, b)."""
+    regs = _among(sketch.select("doc_id", "n", "regs"), _ends(pairs), 2 * n)
+    one = regs.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
+    two = regs.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     likely = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(percent / 100), "a long, b long")
-    likely = save(likely.distinct(), "near-likely")
-    ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    sets = save(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, members array<long>"), "near-sets")
+    likely = save(likely, "near-likely")
+    sets = _sets_of(docs, _ends(likely), 2 * n, k)
     both = likely.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return save(both.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b"), "near-links")
 
 
+def _stars(rows: DataFrame, key: list[str]) -> DataFrame:
+    """hub, hub_n, two, two_n, id, n of the members (key, id, n) of each bucket that has several; hub and two are members chosen by hash."""
+    by = lambda seed: F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", F.lit(seed)), "id"))
+    buckets = rows.groupBy(*key).agg(by(1).alias("h"), by(2).alias("t"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return rows.join(buckets, key).select(F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("t.id").alias("two"), F.col("t.n").alias("two_n"), "id", "n").distinct()
+
+
+def _star_pairs(stars: DataFrame, percent: int) -> DataFrame:
+    ends = F.explode(F.array(F.struct(F.col("hub").alias("to"), F.col("hub_n").alias("m")), F.struct(F.col("two").alias("to"), F.col("two_n").alias("m"))))
+    pairs = stars.select("id", "n", ends.alias("e")).select("id", "n", "e.to", "e.m")
+    return pairs.filter((F.col("id") != F.col("to")) & _fits(F.col("n"), F.col("m"), percent)).select(*_pair("id", "to")).distinct()
+
+
+def _fits(n: Column, m: Column, percent: int) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _pair(x: str, y: str) -> tuple[Column, Column]:
+    return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
+
+
+def _across(members: DataFrame, left: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Pairs (a, b) of some of a bucket with its members of other components; both: key, id, n, label."""
+    x = left.select(*key, F.col("id").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
+    pairs = members.join(x, key).filter((F.col("label") != F.col("xl")) & _fits(F.col("n"), F.col("xn"), percent))
+    return pairs.select(*_pair("id", "x")).distinct()
+
+
+def _dealt(members: DataFrame, docs: DataFrame, k: int, percent: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of groups with many left (hub, id, n, label, out, mains, low): pairs to test, the stars of smaller buckets, and the members that go on (hub, id, n)."""
+    sets = _sets_of(docs, members.select(F.col("id").alias("doc_id")), members.count(), k)
+    own = members.join(sets, "id").withColumn("chosen", ~F.col("out") & (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("mains")) < UNION))
+    union = own.filter("chosen").groupBy("hub").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("union"))  # of about UNION sets
+    own = own.join(union, "hub", "left").withColumn("outside", F.coalesce(F.array_except("members", "union"), F.col("members")))
+    least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    shared = F.ceil((F.col("n") + least) * percent / (100 + percent))
+    own = own.withColumn("d", shared - (F.col("n") - F.size("outside")))
+    own = save(own.select("hub", "id", "n", "label", "out", "chosen", "outside", "d"), "near-outside")
+    close = own.filter("out and d <= 0")
+    tests = _across(own.filter("chosen"), close, ["hub"], percent)
+    able = own.filter((F.size("outside") >= F.col("d")) & (F.size("outside") > 0))
+    rows = able.select("hub", "id", "n", "label", "out", "d", F.explode("outside").alias("element"))
+    met = rows.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.expr("out and d > 0")).alias("o")).filter("x <> y and o").select("hub", "element", "c")
+    hits = rows.join(met, ["hub", "element"])
+    w = Window.partitionBy("hub", "id")
+    hits = hits.withColumn("m", F.count(F.lit(1)).over(w)).filter("m >= d").withColumn("r", F.row_number().over(w.orderBy("c", "element")))
+    hits = save(hits.select("hub", "element", "id", "n", "label", (F.col("out") & (F.col("d") > 0) & (F.col("r") <= F.col("m") - F.col("d") + 1)).alias("probe")), "near-hits")
+    probes = hits.groupBy("hub", "element").agg(F.count_if("probe").alias("probes"), F.count(F.lit(1)).alias("c")).filter("probes > 0 and c > 1").select("hub", "element", "probes")
+    hits = hits.join(probes, ["hub", "element"])
+    few = hits.filter(F.col("probes") <= FEW)
+    tests = tests.unionByName(_across(few, few.filter("probe"), ["hub", "element"], percent))
+    stars = _stars(hits.filter(F.col("probes") > FEW).select("hub", "element", "id", "n"), ["hub", "element"])
+    going = own.join(close.select("hub").distinct(), "hub", "left_semi").filter("not out or d <= 0").select("hub", "id", "n")
+    return tests, stars, going
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = save(docs.mapInArrow(_sketch(k), "doc_id long, n long, h1 long, h2 long, regs binary, bands array<long>"), "near-sketch")
     whole = sketch.filter("n > 0 and doc_id is not null")
     same = save(whole.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "near-same")
-    ours = sketch.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").filter("n > 0")
-    rows = ours.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    members = save(rows.join(buckets, "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "near-members")
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    pairs = members.filter((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    tested = save(pairs, "near-pairs")
-    links = _confirm(tested, sketch, docs, k, percent)
-    labels = components(links, "near-labels")
-    members = members.filter(F.col("id") != F.col("hub")).select("key", "id", "n")
-    hubs = HUBS
+    ours = sketch.select("doc_id", "n", "bands").filter("n > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    stars = save(_stars(ours.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key")), ["key"]), "near-stars")
+    tested = save(_star_pairs(stars, percent), "near-pairs")
+    groups = stars.select("hub", "id", "n").distinct()
+    labels = components(_confirm(tested, tested.count(), sketch, docs, k, percent), "near-labels")
+    turn = 0
     while True:
-        named = members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-        named = save(named, "near-named")
-        shares = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        open_ = shares.groupBy("key").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("total"), F.max("c").alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        members = save(named.join(open_, "key").select("key", "id", "n", "label", "main", (F.col("total") - F.col("most")).alias("rest")), "near-open")
-        if members.isEmpty():
+        named = groups.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        shares = named.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"))
+        state = shares.groupBy("hub").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c"), F.min("low").alias("low")).filter("c > 2 and c > most.c")
+        state = state.select("hub", F.col("most.label").alias("main"), F.col("most.c").alias("mains"), (F.col("c") - F.col("most.c")).alias("rest"), "low")
+        groups = save(named.join(state, "hub").withColumn("out", F.col("label") != F.col("main")).drop("main"), "near-open")
+        if groups.isEmpty():
             break
-        chosen = members.filter((F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("id", F.lit(hubs)), F.col("rest")) < hubs))
-        c, m = chosen.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label")), members
-        pairs = m.join(c, "key").filter((F.col("label") != F.col("hub_label")) & fits(F.col("n"), F.col("hub_n"))).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-        pairs = save(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        tested = tested.unionByName(pairs)
-        fresh = _confirm(pairs, sketch, docs, k, percent)
-        if not fresh.isEmpty():
+        turn += 1
+        small = groups.filter(F.col("rest") <= FEW) if turn < ROUNDS else groups
+        pairs = _across(small, small.filter("out"), ["hub"], percent)
+        many = groups.filter(F.col("rest") > FEW).drop("rest")
+        if turn < ROUNDS and not many.isEmpty():
+            more, stars, going = _dealt(many, docs, k, percent, turn)
+            stars = save(stars, "near-stars")
+            groups = stars.select("hub", "id", "n").unionByName(going).distinct()
+            pairs = pairs.unionByName(more).unionByName(_star_pairs(stars, percent))
+        else:
+            groups = groups.limit(0).select("hub", "id", "n")
+        pairs = save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        n = pairs.count()
+        if n:
+            tested = tested.unionByName(pairs)
+            fresh = _confirm(pairs, n, sketch, docs, k, percent)
             labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(fresh), "near-labels")
-        members = members.select("key", "id", "n").join(c.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        hubs *= 8
     of_rep = same.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("component"))
     base = sketch.select("doc_id", "n", "h1", "h2")
     out = base.join(of_rep, ["h1", "h2", "n"], "left")
