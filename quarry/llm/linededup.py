@@ -86,6 +86,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batc
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), th.alias("th"), F.explode(keys).alias("x"))
     lines = save(rows.select("doc_id", "th", F.col("x.pos").alias("pos"), F.xxhash64("x.key").alias("h1"), F.xxhash64(F.lit(1), "x.key").alias("h2")), "lines")
     often = lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).drop("n")
+    # Written first, its join with the lines has a shuffle on either side, whose hot parts Spark can split.
+    often = save(often, "lines-often")
     common = save(lines.join(often, ["h1", "h2"]), "lines-common")
     store, dropped, cuts = LineRuns(fanout), None, _bounds(common, batches)
     high = None
@@ -96,8 +98,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batc
         if high is not None:
             batch = batch.filter((F.col("doc_id") <= high) if low is not None else (F.col("doc_id") <= high) | F.col("doc_id").isNull())
         high = low
-        fresh = store.unseen(batch)
-        best = save(fresh.groupBy("h1", "h2").agg(F.max(F.coalesce(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id")))).alias("best")), "lines-best")
+        # Summed by key before it meets the runs, a hot line is one row a task.
+        held = batch.groupBy("h1", "h2").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("best"))
+        best = save(store.unseen(held), "lines-best")
         kept = best.select("h1", "h2", F.col("best.id").alias("keeper"))
         gone = batch.alias("b").join(kept.alias("k"), (F.col("b.h1") == F.col("k.h1")) & (F.col("b.h2") == F.col("k.h2")) & F.col("b.doc_id").eqNullSafe(F.col("k.keeper")), "left_anti")
         dropped = gone if dropped is None else dropped.unionByName(gone)
@@ -106,16 +109,31 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batc
     return dropped.select("doc_id", "th", "pos")
 
 
+def _marked(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
+    """docs with __kept, __n_lines, __n_dropped."""
+    gone = repeated_lines(docs, min_chars, min_docs, batches).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+    g = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__gone_th"), F.col("gone").alias("__gone"))
+    rows = docs.withColumn("__th", F.xxhash64("text"))
+    rows = rows.join(g, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__gone_th")), "left")
+    rows = rows.withColumn("__lines", lines_of(F.col("text")))
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")), lambda i: F.get("__lines", i))
+    kept = F.when(F.col("__gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(rest, "\n"))
+    dropped = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
+    rows = rows.withColumn("__kept", kept).withColumn("__n_lines", F.size("__lines").cast("long")).withColumn("__n_dropped", dropped)
+    return rows.drop("__id", "__th", "__gone_th", "__gone", "__lines")
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3) -> DataFrame:
     """docs with kept_text, n_lines and n_dropped added (in place of columns of those names)."""
-    gone = repeated_lines(docs, min_chars, min_docs, batches).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
-    g = gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"), F.col("gone").alias("_gone"))
-    rows = docs.drop("kept_text", "n_lines", "n_dropped").withColumn("_th", F.xxhash64("text"))
-    rows = rows.join(g, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.col("_th") == F.col("_gone_th")), "left")
-    lines = lines_of(F.col("text"))
-    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(rest, "\n"))
-    rows = rows.withColumn("_lines", lines)
-    rows = rows.withColumn("kept_text", kept).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("n_dropped", F.greatest(F.col("n_dropped"), F.lit(0).cast("long")))
-    return rows.drop("_th", "_gone_id", "_gone_th", "_gone", "_lines")
+    names = {"__kept": "kept_text", "__n_lines": "n_lines", "__n_dropped": "n_dropped"}
+    return _marked(docs, min_chars, min_docs, batches).drop(*names.values()).withColumnsRenamed(names)
+
+
+def without_repeats(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3) -> DataFrame:
+    """docs, their columns as they were, with the lines gone from text, and n_chars of the documents that lost any; a null text stays null."""
+    out = _marked(docs, min_chars, min_docs, batches)
+    lost = F.col("__n_dropped") > 0
+    changed = {"text": F.when(lost, F.col("__kept")).otherwise(F.col("text")).alias("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(lost, F.char_length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return out.select(*[changed.get(c, F.col(c)) for c in docs.columns])
