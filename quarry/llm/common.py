@@ -25,14 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Tables that this process has saved.
+_SAVED: list[str] = []
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage is cut and lost executors do no harm."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SAVED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the saved tables; results that were not written anywhere are lost with them."""
+    while _SAVED:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SAVED.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,10 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as pipeline
 from tests.llm.helpers import frame
 
-pipeline = pytest.importorskip("corpus_pipeline")
-
 
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
