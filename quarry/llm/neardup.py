@@ -9,20 +9,20 @@ corrected for chance collisions of compressed registers, drops those that are fa
 off; the rest are confirmed on the full sets.
 
 Documents of equal sets are collapsed first. Within a bucket all pairs are never
-made. Two members, chosen by hash, are compared with each other member; the members
-of buckets with the same first one are a group. Where few members are left outside
-the group's largest component, they are compared with its other components.
-Otherwise let H be the union of some sets of that component. A link of x with y takes
+made. Two members, chosen by hash, are compared with each other member. Buckets whose
+members are then mostly of one component make up a group. Where few members are left
+outside that component, they are compared with the group's other components.
+Otherwise let H be the union of some sets of the component. A link of x with y takes
 4/9 (|x| + |y|) shared elements; |y| >= s, the group's smallest size, and |x & H| of
 them at most lie in H, so x and y share at least d = 4/9 (|x| + s) - |x & H| elements
 outside H. A member x that is left and has d > 0 is dropped if it has fewer; else it
 meets those that share one of all but d - 1 of its elements outside H, its rarest, in
 a smaller bucket for each such element. A member with d <= 0 lies close to H; it is
-compared with H's sets and, if that doesn't link it, goes on to the next round, with
-others. After some rounds whatever is left is compared directly, so no link within a
-bucket is lost. Near copies with edits of their own share too little outside H, so a
-bucket of them costs a few pairs a member. Bands miss a pair of similarity 0.8 with
-probability (1 - 0.8^5)^40, 1e-7.
+compared with the component's sets closest to H and, if that doesn't link it, goes on
+to the next round. After some rounds whatever is left is compared directly, so no
+link within a bucket is lost. Near copies with edits of their own share too little
+outside H, so a bucket of them costs a few pairs a member. Bands miss a pair of
+similarity 0.8 with probability (1 - 0.8^5)^40, 1e-7.
 
 Defined cases: a text without words or a null text has an empty set, linked with
 nothing; fewer than k words are one shingle; rows that repeat a doc_id are one
@@ -43,9 +43,9 @@ P_BITS, MANTISSA, BANDS, BAND = 8, 10, 40, 5
 M = 1 << P_BITS
 PIECE = 1 << 20
 #: So many left of a group are compared with all its members.
-FEW = 16
-#: Sets in H, about; and the rounds after which what is left is compared directly.
-UNION, ROUNDS = 10, 4
+FEW = 128
+#: Sets in H, about; those closest to it that others are compared with; and the rounds after which what is left is compared directly.
+UNION, CLOSEST, ROUNDS = 10, 8, 4
 #: Tables of ids of at most so many rows (8 to 16 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -261,7 +261,9 @@ def _dealt(members: DataFrame, docs: DataFrame, k: int, percent: int, turn: int)
     own = own.withColumn("d", shared - (F.col("n") - F.size("outside")))
     own = save(own.select("hub", "id", "n", "label", "out", "chosen", "outside", "d"), "near-outside")
     close = own.filter("out and d <= 0")
-    tests = _across(own.filter("chosen"), close, ["hub"], percent)
+    near = Window.partitionBy("hub").orderBy(F.size("outside") / F.col("n"), "id")
+    central = own.filter("not out and not chosen").select("hub", "id", "n", "label", F.row_number().over(near).alias("at")).filter(F.col("at") <= CLOSEST)
+    tests = _across(central, close, ["hub"], percent)
     able = own.filter((F.size("outside") >= F.col("d")) & (F.size("outside") > 0))
     rows = able.select("hub", "id", "n", "label", "out", "d", F.explode("outside").alias("element"))
     met = rows.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.expr("out and d > 0")).alias("o")).filter("x <> y and o").select("hub", "element", "c")
@@ -292,10 +294,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     turn = 0
     while True:
         named = groups.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        shares = named.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"))
-        state = shares.groupBy("hub").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c"), F.min("low").alias("low")).filter("c > 2 and c > most.c")
-        state = state.select("hub", F.col("most.label").alias("main"), F.col("most.c").alias("mains"), (F.col("c") - F.col("most.c")).alias("rest"), "low")
-        groups = save(named.join(state, "hub").withColumn("out", F.col("label") != F.col("main")).drop("main"), "near-open")
+        shares = named.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("c"))
+        main = shares.groupBy("hub").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c")).filter("c > 2 and c > most.c").select("hub", F.col("most.label").alias("main"))
+        # From here on a group is named by its largest component, so that buckets of one family meet once.
+        joint = save(named.join(main, "hub").select(F.col("main").alias("hub"), "id", "n", "label").distinct(), "near-joint").withColumn("out", F.col("label") != F.col("hub"))
+        state = joint.groupBy("hub").agg(F.count_if("out").alias("rest"), F.count_if(~F.col("out")).alias("mains"), F.min("n").alias("low"))
+        groups = save(joint.join(state, "hub"), "near-open")
         if groups.isEmpty():
             break
         turn += 1
