@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quarry.llm.blocks import block_of, cut_points
 from quarry.llm.common import Words, buffers, clear, n_words, pieces, save
@@ -39,7 +40,7 @@ def test_slices_and_cases():
 
 def test_word_counts(spark):
     rows = corpus(11, 60)
-    got = {r.doc_id: r.n for r in frame(spark, rows).select("doc_id", n_words(frame(spark, rows).text).alias("n")).collect()}
+    got = {r.doc_id: r.n for r in frame(spark, rows).select("doc_id", n_words(F.col("text")).alias("n")).collect()}
     assert got == {r[0]: len(words(r[1])) for r in rows}
 
 
