@@ -45,7 +45,7 @@ PIECE = 1 << 20
 #: So many left of a group are compared with all its members.
 FEW = 128
 #: Sets in H, about; those closest to it that others are compared with; and the rounds after which what is left is compared directly.
-UNION, CLOSEST, ROUNDS = 10, 8, 4
+UNION, CLOSEST, ROUNDS = 5, 8, 4
 #: Tables of ids of at most so many rows (8 to 16 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -146,34 +146,45 @@ def _sketch(k: int):
 
 
 def _sets(k: int):
+    """id, n, regs, members of each text."""
+
     def fn(batches):
         for batch in batches:
             raw, off = buffers(batch.column(1))
             for i, j in pieces(off, PIECE):
                 sets = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 flat = np.concatenate(sets).view(np.int64) if len(sets) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(ends)), pa.array([r.tobytes() for r in sketches(sets)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["id", "n", "regs", "members"])
 
     return fn
 
 
-def _likely(threshold: float):
-    """Pairs whose estimate allows the threshold: within 6 standard deviations; small sets always go on."""
-    low = threshold - 6 * (threshold * (1 - threshold) / M) ** 0.5
+def _links(percent: int):
+    """Pairs whose estimate allows the threshold, within 6 standard deviations (small sets always go on), and whose full sets reach it."""
+    low = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / M) ** 0.5
 
     def fn(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in (4, 5))
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
-            ok = (np.minimum(n, m) < 2 * M) | (jaccard_estimate(a, b, n, m) >= low)
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in (4, 5))
+            likely = (np.minimum(n, m) < 2 * M) | (jaccard_estimate(a, b, n, m) >= low)
+            ok = np.zeros(len(n), bool)
+            for i in np.flatnonzero(likely):
+                both = len(np.intersect1d(batch.column(6)[i].values.to_numpy(), batch.column(7)[i].values.to_numpy(), assume_unique=True))
+                ok[i] = 100 * both >= percent * (n[i] + m[i] - both)
             yield batch.filter(pa.array(ok)).select([0, 1])
 
     return fn
 
 
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """df, of at most n rows of numbers, to be broadcast if that is little."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def _is_flat(e: DataFrame) -> bool:
     """Has each u one edge, to a v that is no u?"""
     nodes = e.select(F.col("u").alias("x"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("ups"), F.lit(1).alias("downs")))
@@ -185,48 +196,37 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """id, label of each node of edges (a, b) but the least of a component, which is the label. Alternates large and small stars, all in tables."""
     e = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
     while not _is_flat(e):
+        n = e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(_small(least, 2 * n), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(_small(least, n), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = save(small.filter("u <> v").distinct(), name)
     return e.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
-def _among(df: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """The rows of df whose doc_id is among ids (doc_id), at most so many."""
-    ids = ids.distinct()
-    return df.join(F.broadcast(ids) if most <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-
-
 def _sets_of(docs: DataFrame, ids: DataFrame, most: int, k: int) -> DataFrame:
-    """id, members of the documents among ids."""
-    return save(_among(docs, ids, most).mapInArrow(_sets(k), "id long, members array<long>"), "near-sets")
+    """id, n, regs, members of the documents among ids (doc_id), at most so many."""
+    return save(docs.join(_small(ids, most), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, n long, regs binary, members array<long>"), "near-sets")
 
 
-def _confirm(pairs: DataFrame, n: int, sketch: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, n: int, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The links (a, b) among n saved pairs (a, b)."""
-    regs = _among(sketch.select("doc_id", "n", "regs"), _ends(pairs), 2 * n)
-    one = regs.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    two = regs.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    likely = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(percent / 100), "a long, b long")
-    likely = save(likely, "near-likely")
-    sets = _sets_of(docs, _ends(likely), 2 * n, k)
-    both = likely.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
-    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return save(both.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b"), "near-links")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    sets = _sets_of(docs, ids, 2 * n, k)
+    one, two = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}"), F.col("members").alias(f"s{c}")) for c in "ab")
+    both = one.join(_small(pairs, n), "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb", "sa", "sb")
+    return save(both.mapInArrow(_links(percent), "a long, b long"), "near-links")
 
 
 def _stars(rows: DataFrame, key: list[str]) -> DataFrame:
     """hub, hub_n, two, two_n, id, n of the members (key, id, n) of each bucket that has several; hub and two are members chosen by hash."""
-    by = lambda seed: F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", F.lit(seed)), "id"))
-    buckets = rows.groupBy(*key).agg(by(1).alias("h"), by(2).alias("t"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return rows.join(buckets, key).select(F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("t.id").alias("two"), F.col("t.n").alias("two_n"), "id", "n").distinct()
+    by = lambda c, seed: F.min_by(c, F.xxhash64("id", F.lit(seed)))
+    buckets = rows.groupBy(*key).agg(by("id", 1).alias("h"), by("n", 1).alias("h_n"), by("id", 2).alias("t"), by("n", 2).alias("t_n"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    buckets = buckets.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("h").alias("hub"), F.col("h_n").alias("hub_n"), F.col("t").alias("two"), F.col("t_n").alias("two_n"))
+    rows = rows.select(*[F.col(c).alias(f"_{c}") for c in key], "id", "n")
+    return rows.join(buckets, [f"_{c}" for c in key]).select("hub", "hub_n", "two", "two_n", "id", "n").distinct()
 
 
 def _star_pairs(stars: DataFrame, percent: int) -> DataFrame:
@@ -252,8 +252,8 @@ def _across(members: DataFrame, left: DataFrame, key: list[str], percent: int) -
 
 def _dealt(members: DataFrame, docs: DataFrame, k: int, percent: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of groups with many left (hub, id, n, label, out, mains, low): pairs to test, the stars of smaller buckets, and the members that go on (hub, id, n)."""
-    sets = _sets_of(docs, members.select(F.col("id").alias("doc_id")), members.count(), k)
-    own = members.join(sets, "id").withColumn("chosen", ~F.col("out") & (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("mains")) < UNION))
+    sets = _sets_of(docs, members.select(F.col("id").alias("doc_id")), members.count(), k).select("id", "members")
+    own = members.join(sets, "id").withColumn("chosen", ~F.col("out") & ((F.pmod(F.xxhash64("id", F.lit(turn)), F.col("mains")) < UNION) | (F.col("id") == F.col("hub"))))
     union = own.filter("chosen").groupBy("hub").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("union"))  # of about UNION sets
     own = own.join(union, "hub", "left").withColumn("outside", F.coalesce(F.array_except("members", "union"), F.col("members")))
     least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
@@ -289,15 +289,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ours = sketch.select("doc_id", "n", "bands").filter("n > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     stars = save(_stars(ours.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key")), ["key"]), "near-stars")
     tested = save(_star_pairs(stars, percent), "near-pairs")
-    groups = stars.select("hub", "id", "n").distinct()
-    labels = components(_confirm(tested, tested.count(), sketch, docs, k, percent), "near-labels")
+    groups = stars.select("hub", "id", "n")
+    labels = components(_confirm(tested, tested.count(), docs, k, percent), "near-labels")
     turn = 0
     while True:
-        named = groups.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        groups = save(groups.distinct(), "near-groups")
+        named = groups.join(_small(labels, labels.count()), "id", "left").withColumn("label", F.coalesce("label", "id"))
         shares = named.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("c"))
         main = shares.groupBy("hub").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c")).filter("c > 2 and c > most.c").select("hub", F.col("most.label").alias("main"))
         # From here on a group is named by its largest component, so that buckets of one family meet once.
-        joint = save(named.join(main, "hub").select(F.col("main").alias("hub"), "id", "n", "label").distinct(), "near-joint").withColumn("out", F.col("label") != F.col("hub"))
+        joint = save(named.join(_small(main, groups.count()), "hub").select(F.col("main").alias("hub"), "id", "n", "label").distinct(), "near-joint").withColumn("out", F.col("label") != F.col("hub"))
         state = joint.groupBy("hub").agg(F.count_if("out").alias("rest"), F.count_if(~F.col("out")).alias("mains"), F.min("n").alias("low"))
         groups = save(joint.join(state, "hub"), "near-open")
         if groups.isEmpty():
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if turn < ROUNDS and not many.isEmpty():
             more, stars, going = _dealt(many, docs, k, percent, turn)
             stars = save(stars, "near-stars")
-            groups = stars.select("hub", "id", "n").unionByName(going).distinct()
+            groups = stars.select("hub", "id", "n").unionByName(going)
             pairs = pairs.unionByName(more).unionByName(_star_pairs(stars, percent))
         else:
             groups = groups.limit(0).select("hub", "id", "n")
@@ -317,7 +318,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         n = pairs.count()
         if n:
             tested = tested.unionByName(pairs)
-            fresh = _confirm(pairs, n, sketch, docs, k, percent)
+            fresh = _confirm(pairs, n, docs, k, percent)
             labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(fresh), "near-labels")
     of_rep = same.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("component"))
     base = sketch.select("doc_id", "n", "h1", "h2")
