@@ -48,6 +48,8 @@ FEW = 128
 UNION, CLOSEST, ROUNDS = 5, 8, 4
 #: Tables of ids of at most so many rows (8 to 16 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Saved tables of numbers of at most so many rows are worked on by one task, without a shuffle; larger ones by as many as there are.
+GATHER_ROWS = 200_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -185,6 +187,11 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def _gathered(df: DataFrame, n: int) -> DataFrame:
+    """A saved df of n rows of numbers, in one partition if that is little."""
+    return df.coalesce(1) if n <= GATHER_ROWS else df
+
+
 def _is_flat(e: DataFrame) -> bool:
     """Has each u one edge, to a v that is no u?"""
     nodes = e.select(F.col("u").alias("x"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("ups"), F.lit(1).alias("downs")))
@@ -194,14 +201,19 @@ def _is_flat(e: DataFrame) -> bool:
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """id, label of each node of edges (a, b) but the least of a component, which is the label. Alternates large and small stars, all in tables."""
-    e = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
-    while not _is_flat(e):
+    e = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), name)
+    while True:
         n = e.count()
+        e = _gathered(e, n)
+        if _is_flat(e):
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both.coalesce(1) if n <= GATHER_ROWS else both
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(_small(least, 2 * n), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(_small(least, n), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = small.coalesce(1) if n <= GATHER_ROWS else small
         e = save(small.filter("u <> v").distinct(), name)
     return e.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
@@ -288,19 +300,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     same = save(whole.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "near-same")
     ours = sketch.select("doc_id", "n", "bands").filter("n > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     stars = save(_stars(ours.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key")), ["key"]), "near-stars")
+    stars = _gathered(stars, stars.count())
     tested = save(_star_pairs(stars, percent), "near-pairs")
+    n_tested = tested.count()
+    tested = _gathered(tested, n_tested)
     groups = stars.select("hub", "id", "n")
-    labels = components(_confirm(tested, tested.count(), docs, k, percent), "near-labels")
+    labels = components(_confirm(tested, n_tested, docs, k, percent), "near-labels")
     turn = 0
     while True:
         groups = save(groups.distinct(), "near-groups")
+        n = groups.count()
+        groups = _gathered(groups, n)
         named = groups.join(_small(labels, labels.count()), "id", "left").withColumn("label", F.coalesce("label", "id"))
         shares = named.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("c"))
         main = shares.groupBy("hub").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c")).filter("c > 2 and c > most.c").select("hub", F.col("most.label").alias("main"))
         # From here on a group is named by its largest component, so that buckets of one family meet once.
-        joint = save(named.join(_small(main, groups.count()), "hub").select(F.col("main").alias("hub"), "id", "n", "label").distinct(), "near-joint").withColumn("out", F.col("label") != F.col("hub"))
+        joint = save(named.join(_small(main, n), "hub").select(F.col("main").alias("hub"), "id", "n", "label").distinct(), "near-joint")
+        joint = _gathered(joint, n).withColumn("out", F.col("label") != F.col("hub"))
         state = joint.groupBy("hub").agg(F.count_if("out").alias("rest"), F.count_if(~F.col("out")).alias("mains"), F.min("n").alias("low"))
-        groups = save(joint.join(state, "hub"), "near-open")
+        groups = save(joint.join(_small(state, n), "hub"), "near-open")
         if groups.isEmpty():
             break
         turn += 1
@@ -310,14 +328,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if turn < ROUNDS and not many.isEmpty():
             more, stars, going = _dealt(many, docs, k, percent, turn)
             stars = save(stars, "near-stars")
+            stars = _gathered(stars, stars.count())
             groups = stars.select("hub", "id", "n").unionByName(going)
             pairs = pairs.unionByName(more).unionByName(_star_pairs(stars, percent))
         else:
             groups = groups.limit(0).select("hub", "id", "n")
-        pairs = save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = save(pairs, "near-raw")
+        pairs = _gathered(pairs, pairs.count()).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = save(pairs, "near-pairs")
         n = pairs.count()
         if n:
+            pairs = _gathered(pairs, n)
+            n_tested += n
             tested = tested.unionByName(pairs)
+            tested = tested.coalesce(1) if n_tested <= GATHER_ROWS else tested
             fresh = _confirm(pairs, n, docs, k, percent)
             labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(fresh), "near-labels")
     of_rep = same.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("component"))
