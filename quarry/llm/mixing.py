@@ -7,9 +7,13 @@ the odds that keep each expectation, until one fraction is 0 or 1; mass is
 measured in words, so the words a source takes stay exact up to its last
 document. Documents meet within buckets of bounded size; what each bucket leaves
 open, one document, goes to the next level, where buckets are grouped again: a
-reduction tree of depth log(documents) / log(bucket). A source's last open document
-takes the nearer whole number, and settled documents that the last level holds make
-up for what that misses, each between the whole numbers next to its fraction.
+reduction tree of depth log(documents) / log(bucket). Each bucket also sends up
+settled documents of each power of two of words, rounded up and rounded down: so many
+that the source's buckets send about as many of each as a bucket holds. A source that is in one bucket ends there, whatever the size of
+the others: its last open document takes a whole number, and settled documents of
+that bucket, its own or sent up, make up for what that misses, each between the whole
+numbers next to its fraction. The nearer number is taken unless the other, made up
+for, misses less.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the
 last; a source without words has target 0 and takes nothing; rows that repeat a
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import n_words, save
 
 BUCKET = 4096
+#: Settled documents of each power of two of words and each direction that a bucket sends up at least.
+SPARE = 2
 #: A table of sources of at most so many rows is broadcast; beyond, it is joined.
 BROADCAST_ROWS = 20_000
 
@@ -85,31 +91,59 @@ def pivot(sizes: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray,
     return out, held, mass
 
 
-def _rounder(level: int, seed: int, last: bool):
+def spare(sizes: np.ndarray, way: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Which settled documents go up: of each power of two of sizes and each way but 0, the first by order, so many at most."""
+    at = np.lexsort((order, np.frexp(sizes.astype(float))[1], way))
+    kind = np.stack([way[at], np.frexp(sizes[at].astype(float))[1]])
+    new = np.concatenate([[True], (kind[:, 1:] != kind[:, :-1]).any(axis=0)])[: len(at)]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    out = np.zeros(len(sizes), bool)
+    out[at] = (np.arange(len(at)) - first < most) & (way[at] != 0)
+    return out
+
+
+def made_up(steps: np.ndarray, missed: float) -> tuple[np.ndarray, float]:
+    """Takes steps, each once or not, as long as one brings what is missed nearer to 0. Result: 1, -1 or 0 copies more of each, and what is missed still."""
+    change, steps = np.zeros(len(steps), np.int64), steps.copy()
+    while True:
+        j = int(np.argmin(np.abs(missed - steps)))
+        if abs(missed - steps[j]) >= abs(missed) - 1e-9:
+            return change, missed
+        change[j] += int(np.sign(steps[j]))
+        missed -= steps[j]
+        steps[j] = -steps[j]
+
+
+def _rounder(level: int, seed: int, bucket: int):
+    """Rounds a bucket. way: 0 of an open document or one without a fraction, 1 or -1 of a settled one that could go up or down."""
+
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        u = np.random.default_rng([seed, level, int(pdf.source_no.iloc[0]), int(pdf.bucket.iloc[0])]).random(len(pdf) + 1)
-        p = pdf.p.to_numpy()
-        done, held, mass = pivot(pdf["size"].to_numpy(), p, u)
+        pdf = pdf.sort_values(["size", "doc_id", "way", "copies", "p"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
+        rng = np.random.default_rng([seed, level, int(pdf.source_no.iloc[0]), int(pdf.bucket.iloc[0])])
+        u = rng.random(len(pdf) + 1)
+        size, way = pdf["size"].to_numpy(), pdf["way"].to_numpy().copy()
+        p = np.where(way == 0, pdf.p.to_numpy(), 0.0)
+        done, held, mass = pivot(size, p, u)
         copies = pdf["copies"].to_numpy() + done
-        open_ = np.zeros(len(pdf), bool)
-        q = np.zeros(len(pdf))
-        if held >= 0 and last:
-            copies[held] += int(mass > 0.5)
-            missed = (mass - int(mass > 0.5)) * float(pdf["size"].iloc[held])
-            steps = pdf["size"].to_numpy() * (1.0 - 2 * done)
-            steps[(p <= 1e-12) | (p >= 1 - 1e-12)] = 0
-            steps[held] = 0
-            for _ in range(64):
-                j = int(np.argmin(np.abs(missed - steps)))
-                if abs(missed - steps[j]) >= abs(missed):
-                    break
-                copies[j] += int(np.sign(steps[j]))
-                missed -= steps[j]
-                steps[j] = -steps[j]
+        fresh = (p > 1e-12) & (p < 1 - 1e-12)
+        way[fresh] = 1 - 2 * done[fresh]
+        up, q = np.zeros(len(pdf), bool), np.zeros(len(pdf))
+        if held >= 0:
+            way[held] = 0
+        groups = int(pdf.groups.iloc[0])
+        if groups > 1:
+            up = spare(size, way, rng.random(len(pdf)), max(SPARE, -(-bucket // groups)))
+            if held >= 0:
+                up[held], q[held] = True, mass
         elif held >= 0:
-            open_[held], q[held] = True, mass
-        return pd.DataFrame({"doc_id": pdf.doc_id, "source_no": pdf.source_no, "size": pdf["size"], "source_size": pdf.source_size, "target": pdf.target, "n_docs": pdf.n_docs, "copies": copies, "p": q, "open": open_})
+            steps = size * way.astype(float)
+            near = int(mass > 0.5)
+            (change, missed), (other, least) = (made_up(steps, (mass - whole) * float(size[held])) for whole in (near, 1 - near))
+            if abs(least) < abs(missed) - 1e-9:
+                near, change = 1 - near, other
+            copies += change
+            copies[held] += near
+        return pd.DataFrame({"doc_id": pdf.doc_id, "source_no": pdf.source_no, "size": size, "source_size": pdf.source_size, "target": pdf.target, "n_docs": pdf.n_docs, "copies": copies, "p": q, "way": way, "up": up})
 
     return fn
 
@@ -123,20 +157,19 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
     s, t = sizes.alias("s"), side.alias("t")
     rows = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.doc_id", "s.size", "t.source_no", "t.source_size", "t.target", "t.n_docs")
     p = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
-    rows = rows.withColumn("p", p).withColumn("copies", F.floor("p").cast("long")).withColumn("p", F.col("p") - F.col("copies"))
-    fields = "doc_id long, source_no int, size long, source_size long, target double, n_docs long, copies long, p double, open boolean"
+    rows = rows.withColumn("p", p).withColumn("copies", F.floor("p").cast("long")).withColumn("p", F.col("p") - F.col("copies")).withColumn("way", F.lit(0))
+    fields = "doc_id long, source_no int, size long, source_size long, target double, n_docs long, copies long, p double, way int, up boolean"
     settled, groups, level = [], F.ceil(F.col("n_docs") / bucket), 0
     left = most or 0
     while left > 0:
-        last = left <= bucket
         key = F.pmod(F.xxhash64(F.lit(seed + level), F.col("doc_id"), F.col("size")), groups)
-        out = save(rows.withColumn("bucket", key).groupBy("source_no", "bucket").applyInPandas(_rounder(level, seed, last), fields), f"mix-level{level}")
-        settled.append(out.filter(~F.col("open")))
-        rows = out.filter("open").drop("open")
-        left = 0 if last else -(-left // bucket)
+        out = save(rows.withColumn("groups", groups).withColumn("bucket", key).groupBy("source_no", "bucket").applyInPandas(_rounder(level, seed, bucket), fields), f"mix-level{level}")
+        settled.append(out.filter(~F.col("up")))
+        rows = out.filter("up").drop("up")
+        left = 0 if left <= bucket else -(-left // bucket)
         groups, level = F.ceil(groups / bucket), level + 1
     if not settled:
-        settled = [rows.withColumn("open", F.lit(False)).select("doc_id", "source_no", "size", "source_size", "target", "n_docs", "copies", "p", "open")]
+        settled = [rows]
     result = settled[0]
     for x in settled[1:]:
         result = result.unionByName(x)

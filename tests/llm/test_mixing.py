@@ -55,6 +55,19 @@ def test_reduction_tree(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 17
 
 
+def test_a_long_document_is_made_up_for_at_every_size(spark):
+    """In small sources beside one of several buckets, in one of two levels and in one of three."""
+    rows = [(i, "w " * (1 + i % 5), None, "big", 0) for i in range(400)]
+    rows += [(1000 + i, "w " * (1 + i % 5), None, "mid", 0) for i in range(100)]
+    rows += [(2000 + i, "w " * (1 + i % 5), None, f"small{i % 4}", 0) for i in range(48)]
+    rows += [(3000 + i, "w " * 100, None, s, 0) for i, s in enumerate(["big", "mid"])] + [(3010 + i, "w " * (30 + i), None, f"small{i}", 0) for i in range(4)]
+    source = {r[0]: r[3] for r in rows}
+    out = mix_sources(frame(spark, rows), weights=(24, 6, 0.7, 0.7, 0.7, 0.7), bucket=16).collect()
+    for s in set(source.values()):
+        own = [r for r in out if source[r.doc_id] == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3
+
+
 def test_null_empty_and_clashing(spark):
     rows = [(None, None, None, None, 0), (1, "", None, "a", 0), (2, "a b", None, "b", 0), (2, "a b", None, "b", 0)]
     df = frame(spark, rows).selectExpr("*", "1 AS size", "2 AS copies", "3 AS target")
