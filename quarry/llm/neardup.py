@@ -18,8 +18,8 @@ them at most lie in H, so x and y share at least d = 4/9 (|x| + s) - |x & H| ele
 outside H. A member x that is left and has d > 0 is dropped if it has fewer; else it
 meets those that share one of all but d - 1 of its elements outside H, its rarest, in
 a smaller bucket for each such element. A member with d <= 0 lies close to H; it is
-compared with the component's sets closest to H and, if that doesn't link it, goes on
-to the next round. After some rounds whatever is left is compared directly, so no
+compared with the component's sets closest to H, or with all of a component that H
+holds whole, and, if that doesn't link it, goes on to the next round. After some rounds whatever is left is compared directly, so no
 link within a bucket is lost. Near copies with edits of their own share too little
 outside H, so a bucket of them costs a few pairs a member. Bands miss a pair of
 similarity 0.8 with probability (1 - 0.8^5)^40, 1e-7.
@@ -271,10 +271,11 @@ def _dealt(members: DataFrame, docs: DataFrame, k: int, percent: int, turn: int)
     least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
     shared = F.ceil((F.col("n") + least) * percent / (100 + percent))
     own = own.withColumn("d", shared - (F.col("n") - F.size("outside")))
-    own = save(own.select("hub", "id", "n", "label", "out", "chosen", "outside", "d"), "near-outside")
+    own = save(own.select("hub", "id", "n", "label", "out", "chosen", "mains", "outside", "d"), "near-outside")
     close = own.filter("out and d <= 0")
     near = Window.partitionBy("hub").orderBy(F.size("outside") / F.col("n"), "id")
-    central = own.filter("not out and not chosen").select("hub", "id", "n", "label", F.row_number().over(near).alias("at")).filter(F.col("at") <= CLOSEST)
+    # All sets of a component of at most UNION are chosen: then those are compared.
+    central = own.filter(f"not out and (not chosen or mains <= {UNION})").select("hub", "id", "n", "label", F.row_number().over(near).alias("at")).filter(F.col("at") <= CLOSEST)
     tests = _across(central, close, ["hub"], percent)
     able = own.filter((F.size("outside") >= F.col("d")) & (F.size("outside") > 0))
     rows = able.select("hub", "id", "n", "label", "out", "d", F.explode("outside").alias("element"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import quarry.llm.neardup as m
-from quarry.llm.neardup import components, jaccard_estimate, near_duplicates, sketches
+from quarry.llm.neardup import _dealt, components, jaccard_estimate, near_duplicates, sketches
 from tests.llm.helpers import corpus, frame, words
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -89,3 +89,15 @@ def test_estimate_is_near_the_truth():
         assert abs(jaccard_estimate(r[:1], r[1:], np.array([n]), np.array([n]))[0] - truth) < 0.15
     r = sketches([np.sort(every[:3000]), np.sort(every[3000:])])
     assert jaccard_estimate(r[:1], r[1:], np.array([3000]), np.array([2900]))[0] < 0.05
+
+
+def test_a_lone_main_is_compared_with_members_close_to_it(spark):
+    """A group of single documents whose largest, main, is linked with one member; the two don't go on as a group of two untested."""
+    text = " ".join(f"m{i}" for i in range(60))
+    far = [" ".join(f"m{i}" for i in range(50)) + " " + " ".join(f"f{j}x{i}" for i in range(12)) for j in range(3)]
+    docs = spark.createDataFrame([(9, text), (1, text + " tail"), *((2 + j, t) for j, t in enumerate(far))], "doc_id long, text string")
+    rows = [(9, 9, 60, 9, False, 1, 60), (9, 1, 61, 1, True, 1, 60), *((9, 2 + j, 62, 2 + j, True, 1, 60) for j in range(3))]
+    members = spark.createDataFrame(rows, "hub long, id long, n long, label long, out boolean, mains long, low long")
+    pairs, _, going = _dealt(members, docs, 1, 80, 1)
+    assert sorted(r.id for r in going.collect()) == [1, 9]
+    assert {(r.a, r.b) for r in pairs.collect()} == {(9, 1)}
