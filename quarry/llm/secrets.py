@@ -3,8 +3,9 @@
 Base patterns find credentials by their form of writing. Their values are labelled
 credentials: of each kind a bounded number, the least by hash, becomes a prefix tree
 over character classes, and states whose continuations are statistically alike
-(Hoeffding bound) are merged into a probabilistic automaton. Every long run of
-credential characters that no base span touches is a candidate; it is added if some
+(Hoeffding bound) are merged into a probabilistic automaton. Every run of
+credential characters, or part of one that base spans leave, of at least the least
+length of a labelled value is a candidate; it is added if some
 automaton makes it likelier, per character, than the letters of the other candidates
 do, by at least as much as nearly all labelled credentials are.
 
@@ -32,7 +33,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_LEAST = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # 18 or more in all: a run is matched to its end, so a shorter one has no other match
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE_LEAST = ASSIGN_LEAST
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % CANDIDATE_LEAST)
 KINDS = ("assign", "access", "hex")
 METHOD = "grammar"
 
@@ -56,6 +58,20 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+def candidates(text: str, found: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+    """(start, end) of each run, or part of one that the base spans leave, that is long enough."""
+    out, i, reach = [], 0, 0
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        while i < len(found) and found[i][0] < m.end():
+            if found[i][0] - max(at, reach) >= CANDIDATE_LEAST:
+                out.append((max(at, reach), found[i][0]))
+            reach, i = max(reach, found[i][2]), i + 1
+        if m.end() - max(at, reach) >= CANDIDATE_LEAST:
+            out.append((max(at, reach), m.end()))
+    return out
+
+
 def _scan(batches):
     fields = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string())]))), ("more", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])))])
     for batch in batches:
@@ -64,7 +80,7 @@ def _scan(batches):
             text = text or ""
             found = base_spans(text)
             base.append([{"start": s, "kind": k, "end": e, "value": v} for s, k, e, v in found])
-            more.append([{"start": m.start(), "end": m.end(), "value": m[0]} for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e, _ in found)])
+            more.append([{"start": s, "end": e, "value": text[s:e]} for s, e in candidates(text, found)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, fields.field(1).type), pa.array(more, fields.field(2).type)], schema=fields)
 
 
