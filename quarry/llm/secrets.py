@@ -10,7 +10,8 @@ automaton makes it likelier, per character, than the letters of the other candid
 do, by at least as much as nearly all labelled credentials are.
 
 Defined cases: a null text is empty; a document without spans has empty strings and
-the hash of the empty string; with no labelled credential nothing is added; ties of
+the hash of the empty string; with no labelled credential nothing is added, and a kind with
+few is fitted on those; ties of
 likelihood go to the kind listed first; repeated rows are scanned alike; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -179,9 +180,9 @@ class Grammar:
         self.other = {c: math.log((letters.get(c, 0) + 1) / (total + alphabet)) for c in [*CLASSES, *"+/_.=-"]}
         self.kinds = {}
         for kind, values in sorted(labelled.items()):
-            if len(values) < 8:
+            if not values:
                 continue
-            half = [v for i, v in enumerate(values) if i % 4]
+            half = [v for i, v in enumerate(values) if i % 4] or values
             auto = Automaton([classes(v) for v in half])
             scores = sorted(self._gain(auto, v) for v in values)
             self.kinds[kind] = (auto, max(0.3, scores[int(MISSED * len(scores))]))

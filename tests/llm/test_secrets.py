@@ -83,3 +83,14 @@ def test_a_short_credential_behind_another_word_is_added(spark):
     rows += [(500, f"auth {value()} z", None, None, 0), (501, ("/".join("ABCDEFGHJKMNPQRSTVWXYZ0123456789") + " ") * 20, None, None, 0)]
     out = {r.doc_id: r.spans for r in scan(frame(spark, rows)).collect()}
     assert out[500] == "grammar:5:17" and not any("grammar" in out[i] for i in [*range(80), 501])
+
+
+def test_a_kind_with_few_labelled_values_is_fitted():
+    rng = random.Random(6)
+    upper = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    letters = {c: 1000 if c.islower() else 20 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
+    for n in range(1, 8):
+        values = [upper() for _ in range(n)]
+        grammar = Grammar({0: [], 1: values, 2: []}, letters)
+        assert all(map(grammar.accepts, values)) and set(grammar.kinds) == {1}
+        assert not any(map(grammar.accepts, ["thandthationening", "mail6.example.com", "internationalization"]))
