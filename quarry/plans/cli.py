@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from quarry.operators.answers import extractive_generator
 from quarry.plans import index as plans
@@ -25,8 +26,8 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{option}", type=type(default) if default is not None else str, default=default, required=default is None)
 
     where = ("index_dir", "data/index")
-    command("index", ("max_chunk_size", 2000), ("raw_dir", "data/raw"), where)
-    command("index_incremental", ("max_chunk_size", 2000), ("raw_dir", "data/raw"), where)
+    command("index", ("max_chunk_size", 2000), ("raw_dir", "data/raw"), ("root", ""), where)
+    command("index_incremental", ("max_chunk_size", 2000), ("raw_dir", "data/raw"), ("root", ""), where)
     command("index_semantic", where)
     for name in ("search", "search_hybrid"):
         command(name, ("query", None), ("k", 5), where, ("cache_dir", ""))
@@ -40,14 +41,15 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(argv: list[str] | None = None, spark=None) -> int:
+    """Paths of files are kept relative to --root, or else to the working directory, when they lie below it."""
     a = parser().parse_args(argv)
     spark = spark or session()
     try:
         if a.command == "index":
-            plans.index(spark, a.raw_dir, a.index_dir, a.max_chunk_size)
+            plans.index(spark, a.raw_dir, a.index_dir, a.max_chunk_size, a.root or os.getcwd())
             print(f"Indexed {plans.load(spark, a.index_dir).lexical.chunks.count()} chunks")
         elif a.command == "index_incremental":
-            print(json.dumps(plans.index_incremental(spark, a.raw_dir, a.index_dir, a.max_chunk_size)[1]))
+            print(json.dumps(plans.index_incremental(spark, a.raw_dir, a.index_dir, a.max_chunk_size, a.root or os.getcwd())[1]))
         elif a.command == "index_semantic":
             print(f"Embedded {plans.index_semantic(spark, a.index_dir)} chunks")
         elif a.command in ("search", "search_hybrid"):

@@ -9,16 +9,18 @@ cached is kept by snapshot.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import not_blank
-from quarry.operators import bm25, chunking, evaluate, fusion, incremental, vectors
+from quarry.operators import bm25, chunking, evaluate, incremental, vectors
 from quarry.operators.answers import Generator, generate
 from quarry.operators.cache import lookup
+from quarry.operators.retrievers import Hybrid, Lexical, Retriever, Semantic
 from quarry.sources import files, schemas
+from quarry.sources.work import Work, delete, filesystem
 
 TABLES = ("chunks", "postings", "term_stats", "corpus_stats", "manifest")
 
@@ -35,13 +37,8 @@ class Snapshot:
 _OPEN: dict[tuple[str, str], Snapshot] = {}
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     return fs.exists(p)
 
 
@@ -59,19 +56,33 @@ def _publish(spark: SparkSession, index_dir: str, number: str) -> None:
     spark.createDataFrame([(number, time.time_ns())], "number string, at long").coalesce(1).write.mode("append").json(f"{index_dir}/current")
 
 
-def write(spark: SparkSession, index_dir: str, documents: DataFrame, chunks: DataFrame, manifest: DataFrame) -> str:
-    """Write a snapshot of numbered chunks and all that follows from them; its number."""
+def _scanned(spark: SparkSession, raw_dir: str, root: str | None) -> DataFrame:
+    """file_path, content, sha256 of each supported file, in one scan."""
+    return files.scan_files(spark, raw_dir, root).select("file_path", files.text_of(F.col("raw")).alias("content"), F.sha2("raw", 256).alias("sha256"))
+
+
+def write(spark: SparkSession, index_dir: str, scanned: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> str:
+    """Write a snapshot of scanned files (file_path, content, sha256), their chunks by `cut`, and all that follows from them; its number.
+
+    Files are read once, and every later table is made from written ones: nothing is
+    taken from a cache, which would know a directory by its path and not see that
+    files have changed.
+    """
     number = uuid.uuid4().hex
     at = f"{index_dir}/{number}"
-    documents.select("file_path", "content").write.parquet(f"{at}/documents")
-    chunks.select("chunk_id", "file_path", "first_character_index", "last_character_index", "content").write.parquet(f"{at}/chunks")
-    manifest.write.parquet(f"{at}/manifest")
-    read = spark.read.parquet(f"{at}/chunks")
-    # Sorted by term, a lookup of few terms skips most row groups.
-    bm25.postings_of(bm25.texts_of(read)).repartition("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
-    terms, corpus = bm25.statistics(read.agg(F.count(F.lit(1)).alias("n")), spark.read.parquet(f"{at}/postings"))
+    read = lambda name: spark.read.parquet(f"{at}/{name}")
+    scanned.write.parquet(f"{at}/documents")
+    read("documents").select("file_path", "sha256").write.parquet(f"{at}/manifest")
+    chunks = chunking.valid(cut(read("documents").select("file_path", "content"))).select("file_path", "first_character_index", "last_character_index", "content")
+    incremental.number_chunks(chunks, f"{at}/ranges").write.parquet(f"{at}/chunks")
+    delete(spark, f"{at}/ranges")
+    # Sorted by term, a lookup of few terms skips most row groups; a frequent term takes as many ranges as its postings need.
+    bm25.postings_of(bm25.texts_of(read("chunks"))).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{at}/postings")
+    bm25.term_counts(read("postings")).write.parquet(f"{at}/counts")
+    terms, corpus = bm25.statistics(read("chunks").agg(F.count(F.lit(1)).alias("n")), read("counts"))
     terms.write.parquet(f"{at}/term_stats")
     corpus.write.parquet(f"{at}/corpus_stats")
+    delete(spark, f"{at}/counts")
     _publish(spark, index_dir, number)
     return number
 
@@ -82,10 +93,10 @@ def load(spark: SparkSession, index_dir: str) -> Snapshot:
     key = (index_dir, number)
     if key not in _OPEN:
         for old in [k for k in _OPEN if k[0] == index_dir]:
-            _OPEN.pop(old).lexical.postings.unpersist()
+            _OPEN.pop(old)
         at = f"{index_dir}/{number}"
         read = {t: spark.read.parquet(f"{at}/{t}") for t in (*TABLES, "documents")}
-        lexical = bm25.LexicalIndex(read["chunks"], read["postings"].persist(), read["term_stats"], read["corpus_stats"])
+        lexical = bm25.LexicalIndex(read["chunks"], read["postings"], read["term_stats"], read["corpus_stats"])
         _OPEN[key] = Snapshot(at, number, lexical, read["manifest"], read["documents"])
     return _OPEN[key]
 
@@ -95,10 +106,7 @@ def index(spark: SparkSession, raw_dir: str, index_dir: str, max_chunk_size: int
     chunking.check_sizes(max_chunk_size)
     if not exists(spark, raw_dir):
         raise FileNotFoundError(raw_dir)
-    raw = files.scan_files(spark, raw_dir, root)
-    documents = raw.select("file_path", files.text_of(F.col("raw")).alias("content"))
-    chunks = incremental.number_chunks(chunking.valid(chunking.chunk_documents(documents, max_chunk_size)))
-    return write(spark, index_dir, documents, chunks, files.manifest_of(raw))
+    return write(spark, index_dir, _scanned(spark, raw_dir, root), lambda documents: chunking.chunk_documents(documents, max_chunk_size))
 
 
 def index_incremental(spark: SparkSession, raw_dir: str, index_dir: str, max_chunk_size: int = chunking.MAX_CHUNK, root: str | None = None) -> tuple[str, dict[str, int]]:
@@ -107,19 +115,21 @@ def index_incremental(spark: SparkSession, raw_dir: str, index_dir: str, max_chu
         number = index(spark, raw_dir, index_dir, max_chunk_size, root)
         return number, {"added": load(spark, index_dir).manifest.count()}
     old = load(spark, index_dir)
-    raw = files.scan_files(spark, raw_dir, root)
-    manifest = files.manifest_of(raw)
-    delta = incremental.manifest_delta(old.manifest, manifest).persist()
+    work = Work(spark, "index")
+    scanned = work.save(_scanned(spark, raw_dir, root), "scanned")
+    delta = work.save(incremental.manifest_delta(old.manifest, scanned.select("file_path", "sha256")), "delta")
     counts = {r.status: r.n for r in delta.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not set(counts) - {"unchanged"}:
-        delta.unpersist()
-        return old.number, counts
-    documents = raw.select("file_path", files.text_of(F.col("raw")).alias("content"))
-    fresh = chunking.chunk_documents(documents.join(delta.filter("status in ('added', 'changed')").select("file_path"), "file_path", "left_semi"), max_chunk_size)
-    columns = ["file_path", "first_character_index", "last_character_index", "content"]
-    merged = incremental.merge_chunks(old.lexical.chunks.select(*columns), fresh.select(*columns), delta)
-    number = write(spark, index_dir, documents, incremental.number_chunks(chunking.valid(merged)), manifest)
-    delta.unpersist()
+    number = old.number
+    if set(counts) - {"unchanged"}:
+        columns = ["file_path", "first_character_index", "last_character_index", "content"]
+        touched = delta.filter("status in ('added', 'changed')").select("file_path")
+
+        def cut(documents: DataFrame) -> DataFrame:
+            fresh = chunking.chunk_documents(documents.join(touched, "file_path", "left_semi"), max_chunk_size)
+            return incremental.merge_chunks(old.lexical.chunks.select(*columns), fresh.select(*columns), delta)
+
+        number = write(spark, index_dir, scanned, cut)
+    work.keep()
     return number, counts
 
 
@@ -130,21 +140,21 @@ def index_semantic(spark: SparkSession, index_dir: str, make: vectors.Embedder |
     return spark.read.parquet(f"{snapshot.path}/vectors").count()
 
 
-def _hits(spark: SparkSession, snapshot: Snapshot, questions: DataFrame, k: int, hybrid: bool, make: vectors.Embedder | None) -> DataFrame:
+def retriever(spark: SparkSession, snapshot: Snapshot, hybrid: bool = False, make: vectors.Embedder | None = None) -> Retriever:
+    """The lexical or the hybrid ranking of a snapshot."""
+    lexical = Lexical(snapshot.lexical)
     if not hybrid:
-        return bm25.retrieve(snapshot.lexical, questions, k)
+        return lexical
     if not exists(spark, f"{snapshot.path}/vectors"):
         raise FileNotFoundError("no vectors for this snapshot: run index_semantic")
-    asked = questions.filter(not_blank(F.col("question")))
-    lexical = bm25.retrieve(snapshot.lexical, asked, fusion.CANDIDATES)
-    semantic = vectors.cosine_top_k(spark.read.parquet(f"{snapshot.path}/vectors"), vectors.embed_questions(asked, make or vectors.hashing_embedder()), fusion.CANDIDATES)
-    return fusion.fuse(lexical, semantic, k)
+    return Hybrid(lexical, Semantic(spark.read.parquet(f"{snapshot.path}/vectors"), make or vectors.hashing_embedder()))
 
 
-def search_batch(spark: SparkSession, questions: DataFrame, index_dir: str, k: int = 10, hybrid: bool = False, make: vectors.Embedder | None = None) -> DataFrame:
-    """questions (question_id, question, ...) with retrieved_sources; blank questions keep their row with an empty list."""
+def search_batch(spark: SparkSession, questions: DataFrame, index_dir: str, k: int = 10, hybrid: bool = False, make: vectors.Embedder | None = None, by: Retriever | None = None) -> DataFrame:
+    """questions (question_id, question, ...) with retrieved_sources, ranked by the given retriever or the snapshot's own; blank questions keep their row with an empty list."""
     snapshot = load(spark, index_dir)
-    return evaluate.nest(questions, _hits(spark, snapshot, questions, k, hybrid, make), snapshot.lexical.chunks)
+    hits = (by or retriever(spark, snapshot, hybrid, make)).retrieve(questions, k)
+    return evaluate.nest(questions, hits, snapshot.lexical.chunks)
 
 
 def search(spark: SparkSession, query: str, k: int = 5, index_dir: str = "index", hybrid: bool = False, make: vectors.Embedder | None = None, cache_dir: str | None = None) -> list[dict]:

@@ -9,6 +9,12 @@ from quarry.operators.answers import Generator, extractive_generator
 from quarry.plans import index as plans
 
 
+# What clients read in replies.
+HEALTH = {"status": "ok", "service": "rag-api"}
+BLANK_QUERY = "Query cannot be empty."
+BAD_K = "Parameter 'k' must be a positive integer."
+
+
 class Service:
     """Requests to status and body; the session and the open snapshot live as long as it does."""
 
@@ -17,16 +23,16 @@ class Service:
 
     def handle(self, method: str, path: str, body: dict | None = None) -> tuple[int, dict]:
         if (method, path) == ("GET", "/health"):
-            return 200, {"status": "ok"}
+            return 200, dict(HEALTH)
         if method != "POST" or path not in ("/search", "/answer"):
             return 404, {"detail": "Not Found"}
         query, k = (body or {}).get("query"), (body or {}).get("k", 5)
         if not isinstance(query, str) or not isinstance(k, int):
             return 422, {"detail": "query must be a string and k an integer"}
         if not query.strip():
-            return 400, {"detail": "Query cannot be empty."}
+            return 400, {"detail": BLANK_QUERY}
         if k <= 0:
-            return 400, {"detail": "Parameter 'k' must be a positive integer."}
+            return 400, {"detail": BAD_K}
         try:
             plans.load(self.spark, self.index_dir)
         except FileNotFoundError as e:
@@ -40,7 +46,8 @@ class Service:
             return 500, {"detail": str(e)}
 
 
-def serve(spark, index_dir: str, host: str = "127.0.0.1", port: int = 8000, make: Generator | None = None) -> None:
+def server(spark, index_dir: str, host: str = "127.0.0.1", port: int = 8000, make: Generator | None = None) -> ThreadingHTTPServer:
+    """A server bound to host and port (0: any free one), not yet serving."""
     service = Service(spark, index_dir, make)
 
     class Handler(BaseHTTPRequestHandler):
@@ -64,4 +71,8 @@ def serve(spark, index_dir: str, host: str = "127.0.0.1", port: int = 8000, make
         def do_POST(self) -> None:
             self._reply("POST")
 
-    ThreadingHTTPServer((host, port), Handler).serve_forever()
+    return ThreadingHTTPServer((host, port), Handler)
+
+
+def serve(spark, index_dir: str, host: str = "127.0.0.1", port: int = 8000, make: Generator | None = None) -> None:
+    server(spark, index_dir, host, port, make).serve_forever()

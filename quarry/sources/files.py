@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.sources import schemas
+from quarry.sources.work import delete, filesystem
 
 # Directories that are passed over and extensions that are read.
 IGNORED = (".git", "__pycache__", ".mypy_cache", ".pytest_cache", "venv", ".venv", "build", "dist", "egg-info")
@@ -68,10 +69,25 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, k: int, order: str = "pos") -> str:
-    """One JSON document {search_results, k}, written by Spark into the directory `path`; results are one row a question."""
+    """One JSON document {search_results, k} in the file `path`; results are one row a question.
+
+    The format asks for one file in one order, so one task writes it, row by row from
+    a sort that can spill; its part file is then given the name.
+    """
+    spark = results.sparkSession
     own = [c for c in ("question_id", "question", "retrieved_sources", "answer") if c in results.columns]
-    rows = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), *own))), lambda r: F.struct(*[r[c].alias(c) for c in own]))
-    results.agg(rows.alias("search_results"), F.lit(k).alias("k")).coalesce(1).write.mode("overwrite").json(path)
+    first = F.row_number().over(Window.orderBy(order)) == 1
+    one = F.to_json(F.struct(*[F.coalesce(F.col(c), F.array().cast(results.schema[c].dataType)).alias(c) if c == "retrieved_sources" else F.col(c) for c in own]), {"ignoreNullFields": "false"})
+    rows = results.select(F.lit(1).alias("at"), F.col(order).alias("by"), F.concat(F.when(first, "").otherwise(","), one).alias("value"))
+    ends = spark.createDataFrame([(0, '{"search_results": ['), (2, f'], "k": {int(k)}}}')], "at int, value string").withColumn("by", F.lit(None).cast(results.schema[order].dataType))
+    rows.unionByName(ends).coalesce(1).sortWithinPartitions("at", "by").select("value").write.mode("overwrite").text(f"{path}.parts")
+    fs, target = filesystem(spark, path)
+    fs.delete(target, True)
+    (part,) = [f.getPath() for f in fs.listStatus(filesystem(spark, f"{path}.parts")[1]) if f.getPath().getName().startswith("part-")]
+    fs.rename(part, target)
+    delete(spark, f"{path}.parts")
+    # A checksum written beside an earlier file of this name would no longer fit.
+    delete(spark, f"{path.rpartition('/')[0]}/.{path.rpartition('/')[2]}.crc" if "/" in path else f".{path}.crc")
     return path
 
 

@@ -1,11 +1,16 @@
+import hashlib
 import json
 import os
+import threading
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import context, incremental
+from quarry.operators import bm25, context, incremental, models
 from quarry.operators.answers import NO_QUESTION, extractive_generator, generate
+from quarry.operators.retrievers import Retriever
 from quarry.plans import cli, server
 from quarry.plans import index as plans
 from quarry.sources import files, schemas
@@ -71,6 +76,72 @@ def test_incremental_equals_rebuild(spark, raw, tmp_path):
     assert all(len(r.sha256) == 64 for r in plans.load(spark, one).manifest.collect())
 
 
+def test_reindexing_twice_in_a_session(spark, raw, tmp_path):
+    """Nothing of an earlier state of the files comes back: neither chunks nor documents nor manifest."""
+    at = str(tmp_path / "index")
+    plans.index(spark, raw, at, root=raw)
+    for text in ("second state\n", "third state, longer\n"):
+        with open(f"{raw}/b.md", "w") as f:
+            f.write(text)
+        with open(f"{raw}/{len(text)}.md", "w") as f:
+            f.write("new " + text)
+        plans.index(spark, raw, at, root=raw)
+        found = plans.load(spark, at)
+        want = {p: open(f"{raw}/{p}", "rb").read().decode(errors="replace") for p in ("a/wheel.py", "b.md", "E.TXT", "bad.txt", *(x for x in os.listdir(raw) if x[0].isdigit()))}
+        assert {r.file_path: r.content for r in found.documents.collect()} == want
+        assert {r.file_path: r.content for r in found.lexical.chunks.collect()} == {p: t.removesuffix("\n") if p.endswith(".py") else t for p, t in want.items()}
+        assert {r.file_path: r.sha256 for r in found.manifest.collect()} == {p: hashlib.sha256(open(f"{raw}/{p}", "rb").read()).hexdigest() for p in want}
+        assert {s["file_path"] for s in plans.search(spark, text.split()[0], 9, at)} == {"b.md", f"{len(text)}.md"}
+
+
+def test_a_frequent_term_is_split_and_rare_ones_are_pushed(spark, raw, tmp_path):
+    at = str(tmp_path / "index")
+    plans.index(spark, raw, at, root=raw)
+    found = plans.load(spark, at).lexical
+    asked = spark.createDataFrame([("q", "banana")], "question_id string, question string")
+    plan = bm25.pruned(found.postings, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,banana)" in plan or "In(term, [banana])" in plan
+    assert {r.term for r in bm25.pruned(found.postings, asked).collect()} == {"banana"}
+    many = spark.createDataFrame([("q", " ".join(f"w{i}" for i in range(300)) + " banana")], "question_id string, question string")
+    assert [r.chunk_id for r in bm25.retrieve(found, many, 3).collect()] == [r.chunk_id for r in bm25.retrieve(found, asked, 3).collect()]
+
+
+def test_a_retriever_of_ones_own(spark, raw, tmp_path):
+    at = str(tmp_path / "index")
+    plans.index(spark, raw, at, root=raw)
+
+    class Last:
+        def retrieve(self, questions, k):
+            return questions.select("question_id", F.lit(4).cast("long").alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+    assert isinstance(Last(), Retriever)
+    asked = spark.createDataFrame([("q", "x"), ("r", "y")], "question_id string, question string")
+    rows = plans.search_batch(spark, asked, at, 3, by=Last()).collect()
+    last = plans.load(spark, at).lexical.chunks.filter("chunk_id = 4").first().file_path
+    assert [[s.file_path for s in r.retrieved_sources] for r in rows] == [[last], [last]]
+
+
+def test_hybrid_dataset(spark, raw, tmp_path):
+    at = str(tmp_path / "index")
+    plans.index(spark, raw, at, root=raw)
+    questions = [{"question_id": "q1", "question": "quantum banana"}, {"question_id": "q2", "question": " "}, {"question_id": "q3", "question": "telescope"}]
+    (tmp_path / "set.json").write_text(json.dumps({"rag_questions": questions}))
+    with pytest.raises(FileNotFoundError):
+        plans.search_dataset(spark, str(tmp_path / "set.json"), str(tmp_path / "out"), at, 2, hybrid=True)
+    plans.index_semantic(spark, at)
+    doc = json.loads(open(plans.search_dataset(spark, str(tmp_path / "set.json"), str(tmp_path / "out"), at, 2, hybrid=True)).read())
+    best = [[x["file_path"] for x in r["retrieved_sources"]][:1] for r in doc["search_results"]]
+    assert best == [["b.md"], [], ["E.TXT"]] and doc["k"] == 2
+
+
+def test_models_choose_a_device():
+    from types import SimpleNamespace as N
+
+    torch = lambda cuda, mps: N(cuda=N(is_available=lambda: cuda), backends=N(mps=N(is_available=lambda: mps)))
+    assert [models.device_of(torch(c, m)) for c, m in ((True, True), (False, True), (False, False))] == ["cuda", "mps", "cpu"]
+    assert models.device_of(torch(True, True), "cpu") == "cpu" and models.device_of(N(cuda=N(is_available=lambda: False), backends=N())) == "cpu"
+
+
 def test_manifest_delta_and_merge(spark):
     m = lambda rows: spark.createDataFrame(rows, schemas.MANIFEST)
     delta = incremental.manifest_delta(m([("a", "1"), ("b", "1"), ("c", "1")]), m([("a", "1"), ("b", "2"), ("d", "1")]))
@@ -92,12 +163,12 @@ def test_datasets_results_and_evaluation(spark, raw, tmp_path):
         assert sorted(r.question for r in rows) == ["", "banana", "check_wheel_size"] and all(r.question_id for r in rows)
     assert files.read_questions(spark, str(tmp_path / "broken.json")).count() == 0
     out = plans.search_dataset(spark, str(tmp_path / "set.json"), str(tmp_path / "out"), index, 3)
-    doc = json.loads("".join(open(f"{out}/{p}").read() for p in os.listdir(out) if p.startswith("part")))
+    doc = json.loads(open(out).read())
     assert doc["k"] == 3 and [r["question"] for r in doc["search_results"]] == ["check_wheel_size", "", "banana"]
     assert doc["search_results"][1]["retrieved_sources"] == []
     assert plans.evaluate_results(spark, out, str(tmp_path / "set.json")) == {1: 1, 3: 1, 5: 1, 10: 1}
     answers = plans.answer_dataset(spark, out, str(tmp_path / "answers"), index, extractive_generator())
-    doc = json.loads("".join(open(f"{answers}/{p}").read() for p in os.listdir(answers) if p.startswith("part")))
+    doc = json.loads(open(answers).read())
     assert doc["k"] == 3 and doc["search_results"][1]["answer"] == NO_QUESTION and "quantum" in doc["search_results"][2]["answer"]
 
 
@@ -128,7 +199,7 @@ def test_answers(spark):
 def test_service(spark, raw, tmp_path):
     index = str(tmp_path / "index")
     s = server.Service(spark, index)
-    assert s.handle("GET", "/health")[0] == 200 and s.handle("GET", "/nothing")[0] == 404
+    assert s.handle("GET", "/health") == (200, server.HEALTH) and s.handle("GET", "/nothing")[0] == 404
     assert s.handle("POST", "/search", {"query": "wheel"})[0] == 503
     plans.index(spark, raw, index, root=raw)
     assert s.handle("POST", "/search", {"query": " "})[0] == 400 and s.handle("POST", "/search", {"query": "x", "k": 0})[0] == 400
@@ -141,12 +212,31 @@ def test_service(spark, raw, tmp_path):
     assert s.handle("POST", "/answer", {"query": "banana"})[0] == 500
 
 
-def test_commands(spark, raw, tmp_path, capsys):
+def test_socket(spark, raw, tmp_path):
+    at = str(tmp_path / "index")
+    plans.index(spark, raw, at, root=raw)
+    s = server.server(spark, at, port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{s.server_port}"
+    try:
+        assert json.load(urllib.request.urlopen(f"{url}/health", timeout=60)) == server.HEALTH
+        body = json.dumps({"query": "banana", "k": 1}).encode()
+        assert json.load(urllib.request.urlopen(f"{url}/search", body, timeout=120))["results"][0]["file_path"] == "b.md"
+        with pytest.raises(urllib.error.HTTPError, match="422"):
+            urllib.request.urlopen(f"{url}/search", b"{", timeout=60)
+    finally:
+        s.shutdown()
+        s.server_close()
+
+
+def test_commands(spark, raw, tmp_path, capsys, monkeypatch):
     index = f"--index_dir={tmp_path}/index"
     run = lambda *a: (cli.run(list(a), spark), capsys.readouterr().out)
     assert run("search", "--query=x", index)[0] == 1
+    monkeypatch.chdir(os.path.dirname(raw))
     code, out = run("index", f"--raw_dir={raw}", index)
     assert code == 0 and out.startswith("Indexed ")
+    assert {r.file_path for r in plans.load(spark, f"{tmp_path}/index").documents.collect()} == {"corpus/a/wheel.py", "corpus/b.md", "corpus/E.TXT", "corpus/bad.txt"}
     code, out = run("search", "--query=banana", index)
     assert code == 0 and "b.md [0:" in out
     assert run("search", "--query= ", index)[0] == 1 and run("index", "--raw_dir=/none", index)[0] == 1
