@@ -2,32 +2,42 @@
 
 A document is the set of its distinct k-word shingles. Its sketch has 256
 registers: the high bits of a shingle's hash name the register, which keeps the
-least of the remaining bits as a leading-zero count and a mantissa of 10 bits.
-Empty registers borrow from pseudo-random filled ones, so short texts band like
-long ones. Bands of 5 registers give candidate pairs; the Jaccard estimate,
-corrected for chance collisions of compressed registers, drops those that are far
-off; the rest are confirmed on the full sets.
-
-Documents of equal sets are collapsed first. Within a bucket all pairs are never
-made. Two members, chosen by hash, are compared with each other member. Buckets whose
-members are then mostly of one component make up a group. Where few members are left
-outside that component, they are compared with the group's other components.
-Otherwise let H be the union of some sets of the component. A link of x with y takes
-4/9 (|x| + |y|) shared elements; |y| >= s, the group's smallest size, and |x & H| of
-them at most lie in H, so x and y share at least d = 4/9 (|x| + s) - |x & H| elements
-outside H. A member x that is left and has d > 0 is dropped if it has fewer; else it
-meets those that share one of all but d - 1 of its elements outside H, its rarest, in
-a smaller bucket for each such element. A member with d <= 0 lies close to H; it is
-compared with the component's sets closest to H, or with all of a component that H
-holds whole, and, if that doesn't link it, goes on to the next round. After some rounds whatever is left is compared directly, so no
-link within a bucket is lost. Near copies with edits of their own share too little
-outside H, so a bucket of them costs a few pairs a member. Bands miss a pair of
-similarity 0.8 with probability (1 - 0.8^5)^40, 1e-7.
+least of the remaining bits as a leading-zero count and a mantissa of 10 bits. For
+banding, empty registers borrow from pseudo-random filled ones, so short texts band
+like long ones. Documents that agree in a band of 5 registers share a bucket; bands
+miss a pair of similarity 0.8 with probability (1 - 0.8^5)^40, 1e-7.
+
+Documents of equal sets are collapsed first. Each member of a bucket is then paired
+with the bucket's hub, a member chosen by hash. The Jaccard estimate of a pair,
+corrected for chance collisions of compressed registers, drops what is far off; the
+rest is confirmed on the full sets.
+
+What is left in a bucket beside its hub's component is settled without making the
+bucket's pairs. Buckets with members of several components are joined to groups by a
+name that they pass on once. A group has a core H of shingles, those in more than half
+of some members chosen by hash; any H gives right results, a good one makes less work.
+A member x differs from H by the m shingles that it misses and the e that it has
+beside H. For c = percent / (100 + percent), x and y are linked if their sets share
+c (|x| + |y|) shingles, which is the same as
+
+    shared differences * (100 + percent) >= w(x) + w(y) - (100 - percent) |H|
+
+with w = 100 m + percent e. So the member of least w, the centre, is linked with all
+whose w leaves the right side at 0 or below, and needs no pairs for that. Any other
+link needs shared differences. Of a member's differences, those that no other
+component of the group has cannot be shared; a member with too few left is out. The
+others are ordered by how rare they are in the group, and members of different
+components meet only on the first f - need + 1 of their f differences, and only if
+enough are left behind the one they meet on; so near copies with edits of their own
+cost some rows a member and hardly any pair. Met pairs are estimated and confirmed
+like the hubs' pairs. All of it is exact at any size of a group: no rounds, no caps.
 
 Defined cases: a text without words or a null text has an empty set, linked with
 nothing; fewer than k words are one shingle; rows that repeat a doc_id are one
-document; a row without doc_id is linked with nothing, has no component and is
-kept; an empty table gives an empty result; other columns are ignored.
+document, and if their texts differ one of them is compared; a row without doc_id is
+linked with nothing, has no component and is kept; an empty table gives an empty
+result; ties go by doc_id; other columns are ignored. A worker takes texts in pieces
+of 1 MB, or one text if it is longer: about 60 times its bytes of memory.
 """
 
 from __future__ import annotations
@@ -37,19 +47,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, _Q, buffers, mix, pieces, save
+from quarry.llm.common import Work, Words, _Q, buffers, mix, pieces
 
 P_BITS, MANTISSA, BANDS, BAND = 8, 10, 40, 5
 M = 1 << P_BITS
 PIECE = 1 << 20
-#: So many left of a group are compared with all its members.
-FEW = 128
-#: Sets in H, about; those closest to it that others are compared with; and the rounds after which what is left is compared directly.
-UNION, CLOSEST, ROUNDS = 5, 8, 4
-#: Tables of ids of at most so many rows (8 to 16 bytes each) are broadcast; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Saved tables of numbers of at most so many rows are worked on by one task, without a shuffle; larger ones by as many as there are.
-GATHER_ROWS = 200_000
+#: Members from which a group's core is taken, about; a group of fewer than 16 takes its hub's set.
+SAMPLE = 15
+#: Members that meet one copy of a hub's set or of a group's core.
+SHARE = 256
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -88,7 +94,7 @@ def _donors() -> np.ndarray:
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Registers of each set, one row each; an empty set's are 0."""
+    """Registers of each set, one row each; an empty register is 0."""
     regs = np.zeros((len(sets), M), np.uint16)
     sizes = np.array([len(s) for s in sets], np.int64)
     if not sizes.sum():
@@ -98,19 +104,24 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     cell = owner * M + (every >> np.uint64(64 - P_BITS)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     regs.reshape(-1)[cell[first]] = compress(every[first] << np.uint64(P_BITS))
-    filled = regs > 0
-    row, col = np.nonzero(~filled & (sizes > 0)[:, None])
+    return regs
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers of which the empty ones have borrowed; those of an empty set stay empty."""
+    has = regs > 0
+    row, col = np.nonzero(~has & has.any(axis=1)[:, None])
     donors, out, a = _donors(), regs.copy(), 0
     while len(row):
         from_ = donors[col, a]
-        ok = filled[row, from_]
+        ok = has[row, from_]
         out[row[ok], col[ok]] = regs[row[ok], from_[ok]]
         row, col, a = row[~ok], col[~ok], a + 1
     return out
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    r = regs[:, : BANDS * BAND].astype(np.uint64).reshape(len(regs), BANDS, BAND)
+    r = filled(regs)[:, : BANDS * BAND].astype(np.uint64).reshape(len(regs), BANDS, BAND)
     acc = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), r.shape[:2]).copy()
     for j in range(BAND):
         acc = acc * _Q + r[:, :, j]
@@ -125,7 +136,9 @@ def collision_rate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def jaccard_estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    same = (a == b).mean(axis=1)
+    """Share of agreeing registers among those that either fills, less what chance would make agree."""
+    used = np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
+    same = ((a == b) & (a > 0)).sum(axis=1) / used
     chance = collision_rate(n, m)
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
@@ -137,12 +150,11 @@ def _sketch(k: int):
             ids = batch.column(0)
             for i, j in pieces(off, PIECE):
                 sets = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                regs = sketches(sets)
                 n = np.array([len(s) for s in sets], np.int64)
                 h1 = np.array([int(mix(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
                 h2 = np.array([int(mix(s ^ _Q).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(band_keys(regs).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(h1), pa.array(h2), pa.array([r.tobytes() for r in regs], pa.binary()), keys], ["doc_id", "n", "h1", "h2", "regs", "bands"])
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(band_keys(sketches(sets)).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(h1), pa.array(h2), keys], ["doc_id", "n", "h1", "h2", "bands"])
 
     return fn
 
@@ -162,34 +174,33 @@ def _sets(k: int):
     return fn
 
 
-def _links(percent: int):
-    """Pairs whose estimate allows the threshold, within 6 standard deviations (small sets always go on), and whose full sets reach it."""
-    low = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / M) ** 0.5
+def _likely(percent: int):
+    """Pairs (a, b) whose estimate is not more than 6 standard deviations below the threshold."""
+    p = percent / 100
 
     def fn(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in (4, 5))
-            likely = (np.minimum(n, m) < 2 * M) | (jaccard_estimate(a, b, n, m) >= low)
-            ok = np.zeros(len(n), bool)
-            for i in np.flatnonzero(likely):
-                both = len(np.intersect1d(batch.column(6)[i].values.to_numpy(), batch.column(7)[i].values.to_numpy(), assume_unique=True))
-                ok[i] = 100 * both >= percent * (n[i] + m[i] - both)
-            yield batch.filter(pa.array(ok)).select([0, 1])
+            low = p - 6 * np.sqrt(p * (1 - p) / np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1)))
+            yield batch.filter(pa.array(jaccard_estimate(a, b, n, m) >= low)).select([0, 1])
 
     return fn
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    """df, of at most n rows of numbers, to be broadcast if that is little."""
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _linked(percent: int):
+    """Pairs (a, b) whose full sets reach the threshold."""
 
+    def fn(batches):
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                one, two = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                ok[i] = 100 * both >= percent * (len(one) + len(two) - both)
+            yield batch.filter(pa.array(ok)).select([0, 1])
 
-def _gathered(df: DataFrame, n: int) -> DataFrame:
-    """A saved df of n rows of numbers, in one partition if that is little."""
-    return df.coalesce(1) if n <= GATHER_ROWS else df
+    return fn
 
 
 def _is_flat(e: DataFrame) -> bool:
@@ -199,154 +210,152 @@ def _is_flat(e: DataFrame) -> bool:
     return nodes.filter("ups > 1 or ups = 1 and downs = 1").isEmpty()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, work: Work, name: str) -> DataFrame:
     """id, label of each node of edges (a, b) but the least of a component, which is the label. Alternates large and small stars, all in tables."""
-    e = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), name)
-    while True:
-        n = e.count()
-        e = _gathered(e, n)
-        if _is_flat(e):
-            break
+    e, turn = work.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0"), 0
+    while not _is_flat(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = both.coalesce(1) if n <= GATHER_ROWS else both
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(_small(least, 2 * n), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(_small(least, n), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        small = small.coalesce(1) if n <= GATHER_ROWS else small
-        e = save(small.filter("u <> v").distinct(), name)
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        e, turn = work.save(small.filter("u <> v").distinct(), f"{name}-{turn + 1}"), turn + 1
+        work.drop(f"{name}-{turn - 1}")
     return e.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, most: int, k: int) -> DataFrame:
-    """id, n, regs, members of the documents among ids (doc_id), at most so many."""
-    return save(docs.join(_small(ids, most), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, n long, regs binary, members array<long>"), "near-sets")
+def _parts(c: Column) -> Column:
+    """In how many parts c members are dealt."""
+    return F.ceil(c / SHARE).cast("int")
 
 
-def _confirm(pairs: DataFrame, n: int, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links (a, b) among n saved pairs (a, b)."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    sets = _sets_of(docs, ids, 2 * n, k)
-    one, two = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}"), F.col("members").alias(f"s{c}")) for c in "ab")
-    both = one.join(_small(pairs, n), "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb", "sa", "sb")
-    return save(both.mapInArrow(_links(percent), "a long, b long"), "near-links")
+def _part(id_: str, parts: str) -> Column:
+    return F.pmod(F.xxhash64(id_), F.col(parts)).cast("int")
 
 
-def _stars(rows: DataFrame, key: list[str]) -> DataFrame:
-    """hub, hub_n, two, two_n, id, n of the members (key, id, n) of each bucket that has several; hub and two are members chosen by hash."""
-    by = lambda c, seed: F.min_by(c, F.xxhash64("id", F.lit(seed)))
-    buckets = rows.groupBy(*key).agg(by("id", 1).alias("h"), by("n", 1).alias("h_n"), by("id", 2).alias("t"), by("n", 2).alias("t_n"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    buckets = buckets.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("h").alias("hub"), F.col("h_n").alias("hub_n"), F.col("t").alias("two"), F.col("t_n").alias("two_n"))
-    rows = rows.select(*[F.col(c).alias(f"_{c}") for c in key], "id", "n")
-    return rows.join(buckets, [f"_{c}" for c in key]).select("hub", "hub_n", "two", "two_n", "id", "n").distinct()
+def _every_part(rows: DataFrame, parts: str) -> DataFrame:
+    """A copy of each row for each of its parts."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
 
 
-def _star_pairs(stars: DataFrame, percent: int) -> DataFrame:
-    ends = F.explode(F.array(F.struct(F.col("hub").alias("to"), F.col("hub_n").alias("m")), F.struct(F.col("two").alias("to"), F.col("two_n").alias("m"))))
-    pairs = stars.select("id", "n", ends.alias("e")).select("id", "n", "e.to", "e.m")
-    return pairs.filter((F.col("id") != F.col("to")) & _fits(F.col("n"), F.col("m"), percent)).select(*_pair("id", "to")).distinct()
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, work: Work, name: str) -> DataFrame:
+    """The links (a, b) among saved pairs (a, b), estimated on sketches and then compared in full. b, which many may share, is dealt in parts."""
+    of = lambda c, what: sets.select(F.col("id").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in what])
+    both = pairs.join(of("a", ("n", "regs")), "a").join(of("b", ("n", "regs")), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
+    likely = work.save(both.mapInArrow(_likely(percent), "a long, b long"), f"{name}-likely")
+    shares = likely.groupBy("b").agg(_parts(F.count(F.lit(1))).alias("parts"))
+    one = likely.join(shares, "b").withColumn("part", _part("a", "parts")).drop("parts").join(of("a", ("members",)), "a")
+    two = _every_part(shares, "parts").join(of("b", ("members",)), "b")
+    both = one.join(two, ["b", "part"]).select("a", "b", "members_a", "members_b")
+    links = work.save(both.mapInArrow(_linked(percent), "a long, b long"), f"{name}-links")
+    work.drop(f"{name}-likely")
+    return links
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _pair(x: str, y: str) -> tuple[Column, Column]:
-    return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
-
-
-def _across(members: DataFrame, left: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """Pairs (a, b) of some of a bucket with its members of other components; both: key, id, n, label."""
-    x = left.select(*key, F.col("id").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
-    pairs = members.join(x, key).filter((F.col("label") != F.col("xl")) & _fits(F.col("n"), F.col("xn"), percent))
-    return pairs.select(*_pair("id", "x")).distinct()
-
-
-def _dealt(members: DataFrame, docs: DataFrame, k: int, percent: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of groups with many left (hub, id, n, label, out, mains, low): pairs to test, the stars of smaller buckets, and the members that go on (hub, id, n)."""
-    sets = _sets_of(docs, members.select(F.col("id").alias("doc_id")), members.count(), k).select("id", "members")
-    own = members.join(sets, "id").withColumn("chosen", ~F.col("out") & ((F.pmod(F.xxhash64("id", F.lit(turn)), F.col("mains")) < UNION) | (F.col("id") == F.col("hub"))))
-    union = own.filter("chosen").groupBy("hub").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("union"))  # of about UNION sets
-    own = own.join(union, "hub", "left").withColumn("outside", F.coalesce(F.array_except("members", "union"), F.col("members")))
-    least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
-    shared = F.ceil((F.col("n") + least) * percent / (100 + percent))
-    own = own.withColumn("d", shared - (F.col("n") - F.size("outside")))
-    own = save(own.select("hub", "id", "n", "label", "out", "chosen", "mains", "outside", "d"), "near-outside")
-    close = own.filter("out and d <= 0")
-    near = Window.partitionBy("hub").orderBy(F.size("outside") / F.col("n"), "id")
-    # All sets of a component of at most UNION are chosen: then those are compared.
-    central = own.filter(f"not out and (not chosen or mains <= {UNION})").select("hub", "id", "n", "label", F.row_number().over(near).alias("at")).filter(F.col("at") <= CLOSEST)
-    tests = _across(central, close, ["hub"], percent)
-    able = own.filter((F.size("outside") >= F.col("d")) & (F.size("outside") > 0))
-    rows = able.select("hub", "id", "n", "label", "out", "d", F.explode("outside").alias("element"))
-    met = rows.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.expr("out and d > 0")).alias("o")).filter("x <> y and o").select("hub", "element", "c")
-    hits = rows.join(met, ["hub", "element"])
-    w = Window.partitionBy("hub", "id")
-    hits = hits.withColumn("m", F.count(F.lit(1)).over(w)).filter("m >= d").withColumn("r", F.row_number().over(w.orderBy("c", "element")))
-    hits = save(hits.select("hub", "element", "id", "n", "label", (F.col("out") & (F.col("d") > 0) & (F.col("r") <= F.col("m") - F.col("d") + 1)).alias("probe")), "near-hits")
-    probes = hits.groupBy("hub", "element").agg(F.count_if("probe").alias("probes"), F.count(F.lit(1)).alias("c")).filter("probes > 0 and c > 1").select("hub", "element", "probes")
-    hits = hits.join(probes, ["hub", "element"])
-    few = hits.filter(F.col("probes") <= FEW)
-    tests = tests.unionByName(_across(few, few.filter("probe"), ["hub", "element"], percent))
-    stars = _stars(hits.filter(F.col("probes") > FEW).select("hub", "element", "id", "n"), ["hub", "element"])
-    going = own.join(close.select("hub").distinct(), "hub", "left_semi").filter("not out or d <= 0").select("hub", "id", "n")
-    return tests, stars, going
+def _least(c: str, by: str | None = None, seed: int = 1) -> Column:
+    """The value of c in the row whose `by` has the least hash."""
+    return F.min_by(c, F.xxhash64(by or c, F.lit(seed)))
+
+
+def _groups(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """g, id, n, label, distinct: the members of buckets (key, id, n) that are not settled, by the name of a bucket's group.
+
+    A bucket's first name is the label of least hash among its members. It passes that
+    to its members, and takes the least of what they were passed for its name; so
+    buckets of one family meet under few names, and a name stays near its bucket.
+    """
+    named = rows.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    first = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), _least("label").alias("v")).filter("x <> y and c > 2").select("key", "v")
+    rows = named.join(first, "key")
+    passed = rows.groupBy("id").agg(_least("v").alias("w"))
+    names = rows.join(passed, "id").groupBy("key").agg(_least("w").alias("g"))
+    return rows.join(names, "key").select("g", "id", "n", "label").distinct()
+
+
+def _deltas(groups: DataFrame, sets: DataFrame, percent: int, work: Work) -> DataFrame:
+    """g, id, n, label, h (size of the core), w, delta of each member of a group (g, id, n, label); what it misses of the core is in delta by complement."""
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("c"), _least("id", seed=2).alias("hub"))
+    some = F.least(F.lit(SAMPLE), F.floor(F.col("c") / 8))
+    members = groups.join(sizes, "g").withColumn("parts", _parts(F.col("c")))
+    chosen = (F.col("id") == F.col("hub")) | ((some > 1) & (F.pmod(F.xxhash64("id", F.lit(3)), F.col("c")) < some))
+    members = work.save(members.select("g", "id", "n", "label", chosen.alias("chosen"), "parts", _part("id", "parts").alias("part")), "members")
+    picked = members.filter("chosen").select("g", "id", "parts")
+    votes = picked.groupBy("g").agg(F.count(F.lit(1)).alias("votes"), F.max("parts").alias("parts"))
+    held = picked.select("g", "id").join(sets.select("id", "members"), "id").select("g", F.explode("members").alias("element")).groupBy("g", "element").agg(F.count(F.lit(1)).alias("held"))
+    core = held.join(votes, "g").filter("2 * held > votes").groupBy("g").agg(F.collect_list("element").alias("core"), F.max("parts").alias("parts"))
+    none = F.array().cast("array<bigint>")
+    own = members.select("g", "id", "n", "label", "part").join(sets.select("id", "members"), "id").join(_every_part(core, "parts"), ["g", "part"], "left").withColumn("core", F.coalesce("core", none))
+    own = own.withColumn("missing", F.array_except("core", "members")).withColumn("more", F.array_except("members", "core"))
+    w = 100 * F.size("missing").cast("long") + percent * F.size("more").cast("long")
+    delta = F.concat(F.transform("missing", F.bitwise_not), F.col("more"))
+    return work.save(own.select("g", "id", "n", "label", F.size("core").cast("long").alias("h"), w.alias("w"), delta.alias("delta")), "deltas")
+
+
+def _central(deltas: DataFrame, percent: int, work: Work) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of members with the centre of their group, and members (g, id, n, label, h, w, delta, out) with these links in their labels; out: not of the centre's component."""
+    centre = deltas.groupBy("g").agg(F.min(F.struct("w", "id", "label")).alias("centre"))
+    at = deltas.join(centre, "g").withColumn("near", F.col("w") + F.col("centre.w") <= (100 - percent) * F.col("h"))
+    near = work.save(at.select("g", "id", "n", "label", "h", "w", "delta", "near", F.col("centre.id").alias("centre"), F.col("centre.label").alias("main")), "near")
+    links = near.filter("near and label <> main").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    joined = near.groupBy("g", "label").agg(F.max(F.col("near") | (F.col("label") == F.col("main"))).alias("joined"))
+    members = near.join(joined, ["g", "label"]).withColumn("label", F.when(F.col("joined"), F.col("main")).otherwise(F.col("label")))
+    return links, members.select("g", "id", "n", "label", "h", "w", "delta", (~F.col("joined")).alias("out"))
+
+
+def _met(members: DataFrame, percent: int, work: Work) -> DataFrame:
+    """Pairs (a, b) of members (g, id, n, label, h, w, delta, out) of different components that may share as many differences as they need."""
+    lacking, whole = 100 - percent, 100 + percent
+    open_ = members.join(members.filter("out").select("g").distinct(), "g", "left_semi")
+    rows = work.save(open_.select("g", "id", "label", F.explode("delta").alias("element")), "rows")
+    common = rows.groupBy("g", "element").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("g", "element", "c")
+    rows = work.save(rows.select("g", "id", "element").join(common, ["g", "element"]), "common")
+    able = rows.groupBy("g", "id").agg(F.count(F.lit(1)).alias("f")).join(open_.drop("delta"), ["g", "id"])
+    most = able.groupBy("g").agg(F.max(whole * F.col("f") - F.col("w")).alias("most"), F.min("w").alias("least"))
+    # A partner has at least `percent` of n shingles, so of those beside the core there are some.
+    other = F.greatest(F.col("least"), percent * F.greatest(F.lit(0), F.ceil(F.col("n") * percent / 100) - F.col("h")))
+    able = able.join(most, "g").withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("w") + other - lacking * F.col("h")) / whole)))
+    able = able.filter((F.col("need") <= F.col("f")) & (F.col("w") - lacking * F.col("h") <= F.col("most"))).drop("most", "least")
+    order = Window.partitionBy("g", "id").orderBy("c", "element")
+    probes = rows.join(able, ["g", "id"]).withColumn("left", F.col("f") - F.row_number().over(order) + 1).filter(F.col("left") >= F.col("need"))
+    probes = work.save(probes.select("g", "element", "id", "n", "label", "h", "w", "out", "left"), "probes")
+    x = probes.filter("out").select("g", "element", F.col("id").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("w").alias("aw"), F.col("left").alias("aleft"))
+    meet = (F.col("label") != F.col("al")) & (~F.col("out") | (F.col("id") < F.col("a"))) & _fits(F.col("n"), F.col("an"), percent) & (F.least("left", "aleft") * whole >= F.col("w") + F.col("aw") - lacking * F.col("h"))
+    return work.save(probes.join(x, ["g", "element"]).filter(meet).select("a", F.col("id").alias("b")).distinct(), "met")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
+    work = Work(docs.sparkSession, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = save(docs.mapInArrow(_sketch(k), "doc_id long, n long, h1 long, h2 long, regs binary, bands array<long>"), "near-sketch")
+    sketch = work.save(docs.mapInArrow(_sketch(k), "doc_id long, n long, h1 long, h2 long, bands array<long>"), "sketch")
+    base = work.save(sketch.select("doc_id", "n", "h1", "h2"), "base")
     whole = sketch.filter("n > 0 and doc_id is not null")
-    same = save(whole.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "near-same")
-    ours = sketch.select("doc_id", "n", "bands").filter("n > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    stars = save(_stars(ours.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key")), ["key"]), "near-stars")
-    stars = _gathered(stars, stars.count())
-    tested = save(_star_pairs(stars, percent), "near-pairs")
-    n_tested = tested.count()
-    tested = _gathered(tested, n_tested)
-    groups = stars.select("hub", "id", "n")
-    labels = components(_confirm(tested, n_tested, docs, k, percent), "near-labels")
-    turn = 0
-    while True:
-        groups = save(groups.distinct(), "near-groups")
-        n = groups.count()
-        groups = _gathered(groups, n)
-        named = groups.join(_small(labels, labels.count()), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        shares = named.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("c"))
-        main = shares.groupBy("hub").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c")).filter("c > 2 and c > most.c").select("hub", F.col("most.label").alias("main"))
-        # From here on a group is named by its largest component, so that buckets of one family meet once.
-        joint = save(named.join(_small(main, n), "hub").select(F.col("main").alias("hub"), "id", "n", "label").distinct(), "near-joint")
-        joint = _gathered(joint, n).withColumn("out", F.col("label") != F.col("hub"))
-        state = joint.groupBy("hub").agg(F.count_if("out").alias("rest"), F.count_if(~F.col("out")).alias("mains"), F.min("n").alias("low"))
-        groups = save(joint.join(_small(state, n), "hub"), "near-open")
-        if groups.isEmpty():
-            break
-        turn += 1
-        small = groups.filter(F.col("rest") <= FEW) if turn < ROUNDS else groups
-        pairs = _across(small, small.filter("out"), ["hub"], percent)
-        many = groups.filter(F.col("rest") > FEW).drop("rest")
-        if turn < ROUNDS and not many.isEmpty():
-            more, stars, going = _dealt(many, docs, k, percent, turn)
-            stars = save(stars, "near-stars")
-            stars = _gathered(stars, stars.count())
-            groups = stars.select("hub", "id", "n").unionByName(going)
-            pairs = pairs.unionByName(more).unionByName(_star_pairs(stars, percent))
-        else:
-            groups = groups.limit(0).select("hub", "id", "n")
-        pairs = save(pairs, "near-raw")
-        pairs = _gathered(pairs, pairs.count()).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = save(pairs, "near-pairs")
-        n = pairs.count()
-        if n:
-            pairs = _gathered(pairs, n)
-            n_tested += n
-            tested = tested.unionByName(pairs)
-            tested = tested.coalesce(1) if n_tested <= GATHER_ROWS else tested
-            fresh = _confirm(pairs, n, docs, k, percent)
-            labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(fresh), "near-labels")
-    of_rep = same.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("component"))
-    base = sketch.select("doc_id", "n", "h1", "h2")
-    out = base.join(of_rep, ["h1", "h2", "n"], "left")
+    same = work.save(whole.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "same")
+    work.drop("sketch")
+    again = same.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.max("h1").alias("h")).filter("c > 1")
+    nodes = same.join(again, "rep", "left").filter("h is null or h = h1")
+    keys = nodes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(_least("id").alias("hub"), _least("n", "id").alias("hub_n"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    rows = work.save(keys.join(buckets, "key").select("key", "id", "n", "hub", "hub_n"), "buckets")
+    repeated = not base.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    sets = docs.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, n long, regs binary, members array<long>")
+    if repeated:
+        sets = sets.groupBy("id").agg(F.max(F.struct("n", "regs", "members")).alias("s")).select("id", "s.n", "s.regs", "s.members")
+    sets = work.save(sets, "sets")
+    stars = work.save(rows.filter((F.col("id") != F.col("hub")) & _fits(F.col("n"), F.col("hub_n"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    links = _confirm(stars, sets, percent, work, "star")
+    labels = components(links, work, "first")
+    groups = work.save(_groups(rows.select("key", "id", "n"), labels), "groups")
+    work.drop("buckets", "stars")
+    central, members = _central(_deltas(groups, sets, percent, work), percent, work)
+    more = _confirm(_met(members, percent, work), sets, percent, work, "met")
+    labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(central).unionByName(more), work, "last")
+    of_rep = work.save(same.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("component")), "components")
+    work.keep("base", "components")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = base.join(of_rep, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
