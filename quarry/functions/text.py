@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,18 +24,19 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.when(F.contains(w, F.lit("_")), F.concat(F.array(w), parts(w))).otherwise(F.array(w))))
 
 
-def token_bag(text: Column) -> Column:
-    """The same tokens in another order, by passes over the whole text instead of one lambda a word.
+_CAMEL, _WORD = re.compile(CAMEL), re.compile("[a-zA-Z0-9_]+")
+
 
-    All but letters, digits and `_` become spaces, so the rest is ASCII and can be
-    lower-cased at once. Words of one character go, and `_` at a word's ends. The parts of words that
-    hold `_` are what is left when all other words go and `_` becomes a space.
-    """
-    bare = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), CAMEL, "$1 $2"), BREAK, " "))
-    bare = F.regexp_replace(bare, "(?<![a-z0-9_])(_+|_*[a-z0-9]_*)(?![a-z0-9_])|(?<![a-z0-9_])_+|_+(?![a-z0-9_])", "")
-    parts = F.regexp_replace(F.translate(F.regexp_replace(bare, "(?<![a-z0-9_])[a-z0-9]+(?![a-z0-9_])", ""), "_", " "), "(?<![a-z0-9])[a-z0-9](?![a-z0-9])", "")
-    every = F.trim(F.when(F.contains(bare, F.lit("_")), F.concat(bare, F.lit(" "), parts)).otherwise(bare))
-    return F.when(every == "", F.array().cast("array<string>")).otherwise(F.split(every, " +"))
+def token_list(text: str) -> list[str]:
+    """The tokens of a text, for workers."""
+    out = []
+    for word in _WORD.findall(_CAMEL.sub(r"\1 \2", text)):
+        word = word.strip("_").lower()
+        if len(word) > 1:
+            out.append(word)
+            if "_" in word:
+                out += [part for part in word.split("_") if len(part) > 1]
+    return out
 
 
 def not_blank(text: Column) -> Column:

@@ -42,9 +42,10 @@ class Work:
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """by: columns whose values have a directory each."""
         path = f"{self.at}/{name}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
         self.names.add(name)
         _SAVED.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
