@@ -10,15 +10,20 @@ open, one document, goes to the next level, where buckets are grouped again: a
 reduction tree of depth log(documents) / log(bucket). Each bucket also sends up
 settled documents of each power of two of words, rounded up and rounded down: so many
 that the source's buckets send about as many of each as a bucket holds. A source that is in one bucket ends there, whatever the size of
-the others: its last open document takes a whole number, and settled documents of
-that bucket, its own or sent up, make up for what that misses, each between the whole
-numbers next to its fraction. The nearer number is taken unless the other, made up
-for, misses less.
+the others: its last open document is rounded by its fraction, at random, and what
+that misses is made up for by settled documents of that bucket, its own or sent up, drawn at random:
+rounded up, as many words as it is too much go down, and the other way round. That
+keeps the words near the target and, since both ways weigh alike, each document's
+expected copies (a source's documents share one fraction). Only if too few documents
+are there to make up for it, by more than NEAR of the target, the other whole number
+is taken if that misses less.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the
 last; a source without words has target 0 and takes nothing; rows that repeat a
 doc_id are documents of their own; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored. Documents of one size and id are ties of no consequence: equal rows
+are interchangeable. Only the number of words of a text is used, which is counted where
+it is read, whatever its length.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from quarry.llm.common import n_words, save
 BUCKET = 4096
 #: Settled documents of each power of two of words and each direction that a bucket sends up at least.
 SPARE = 2
+#: Share of a source's target that its last rounding may miss before the other whole number is tried.
+NEAR = 0.01
 #: A table of sources of at most so many rows is broadcast; beyond, it is joined.
 BROADCAST_ROWS = 20_000
 
@@ -102,19 +109,22 @@ def spare(sizes: np.ndarray, way: np.ndarray, order: np.ndarray, most: int) -> n
     return out
 
 
-def made_up(steps: np.ndarray, missed: float) -> tuple[np.ndarray, float]:
-    """Takes steps, each once or not, as long as one brings what is missed nearer to 0. Result: 1, -1 or 0 copies more of each, and what is missed still."""
-    change, steps = np.zeros(len(steps), np.int64), steps.copy()
-    while True:
-        j = int(np.argmin(np.abs(missed - steps)))
-        if abs(missed - steps[j]) >= abs(missed) - 1e-9:
-            return change, missed
-        change[j] += int(np.sign(steps[j]))
+def made_up(steps: np.ndarray, missed: float, order: np.ndarray) -> tuple[np.ndarray, float]:
+    """Takes steps, each once or not: in this order all that still fit into what is missed, and at last the one that comes nearest, if one does. Result: 1, -1 or 0 copies more of each, and what is missed still."""
+    change = np.zeros(len(steps), np.int64)
+    for j in order[steps[order] * missed > 0]:
+        if abs(steps[j]) <= abs(missed):
+            change[j] = int(np.sign(steps[j]))
+            missed -= steps[j]
+    left = np.where((change == 0) & (steps != 0), np.abs(missed - steps), np.inf)
+    if len(left) and left.min() < abs(missed) - 1e-9:
+        j = int(np.argmin(left))
+        change[j] = int(np.sign(steps[j]))
         missed -= steps[j]
-        steps[j] = -steps[j]
+    return change, missed
 
 
-def _rounder(level: int, seed: int, bucket: int):
+def _rounder(level: int, seed: int, bucket: int, carry: tuple[str, ...]):
     """Rounds a bucket. way: 0 of an open document or one without a fraction, 1 or -1 of a settled one that could go up or down."""
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,41 +146,44 @@ def _rounder(level: int, seed: int, bucket: int):
             if held >= 0:
                 up[held], q[held] = True, mass
         elif held >= 0:
-            steps = size * way.astype(float)
-            near = int(mass > 0.5)
-            (change, missed), (other, least) = (made_up(steps, (mass - whole) * float(size[held])) for whole in (near, 1 - near))
-            if abs(least) < abs(missed) - 1e-9:
-                near, change = 1 - near, other
+            steps, order = size * way.astype(float), rng.permutation(len(pdf))
+            near = int(u[-1] < mass)
+            change, missed = made_up(steps, (mass - near) * float(size[held]), order)
+            if abs(missed) > NEAR * float(pdf.target.iloc[0]):
+                other, least = made_up(steps, (mass - 1 + near) * float(size[held]), order)
+                if abs(least) < abs(missed):
+                    near, change = 1 - near, other
             copies += change
             copies[held] += near
-        return pd.DataFrame({"doc_id": pdf.doc_id, "source_no": pdf.source_no, "size": size, "source_size": pdf.source_size, "target": pdf.target, "n_docs": pdf.n_docs, "copies": copies, "p": q, "way": way, "up": up})
+        return pd.DataFrame({"doc_id": pdf.doc_id, "source_no": pdf.source_no, "size": size, "source_size": pdf.source_size, "target": pdf.target, "n_docs": pdf.n_docs, "copies": copies, "p": q, "way": way, "up": up} | {c: pdf[c] for c in carry})
 
     return fn
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of each row of docs (doc_id, text, source)."""
-    sizes = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "mix-sizes")
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17, bucket: int = BUCKET, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies of each row of docs (doc_id, text, source), and the columns to carry along."""
+    own = [F.col("source").cast("string").alias("source") if c == "source" else F.col(c) for c in {"source": 0} | dict.fromkeys(carry)]
+    sizes = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own, n_words(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("__spread")), "mix-sizes")
+    through = (*carry, "__spread")
     sources = save(source_targets(sizes, weights, cap), "mix-sources")
     n_sources, most = sources.agg(F.count(F.lit(1)), F.max("n_docs")).first()
     side = F.broadcast(sources) if n_sources <= BROADCAST_ROWS else sources
     s, t = sizes.alias("s"), side.alias("t")
-    rows = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.doc_id", "s.size", "t.source_no", "t.source_size", "t.target", "t.n_docs")
+    rows = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.doc_id", "s.size", "t.source_no", "t.source_size", "t.target", "t.n_docs", *[f"s.{c}" for c in through])
     p = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     rows = rows.withColumn("p", p).withColumn("copies", F.floor("p").cast("long")).withColumn("p", F.col("p") - F.col("copies")).withColumn("way", F.lit(0))
     fields = "doc_id long, source_no int, size long, source_size long, target double, n_docs long, copies long, p double, way int, up boolean"
-    settled, groups, level = [], F.ceil(F.col("n_docs") / bucket), 0
-    left = most or 0
+    fields += "".join(f", `{c}` {sizes.schema[c].dataType.simpleString()}" for c in through)
+    settled, groups, level = [rows.filter("p = 0").withColumn("up", F.lit(False))], F.ceil(F.col("n_docs") / bucket), 0
+    rows, left = rows.filter("p > 0"), most or 0
     while left > 0:
-        key = F.pmod(F.xxhash64(F.lit(seed + level), F.col("doc_id"), F.col("size")), groups)
-        out = save(rows.withColumn("groups", groups).withColumn("bucket", key).groupBy("source_no", "bucket").applyInPandas(_rounder(level, seed, bucket), fields), f"mix-level{level}")
+        key = F.pmod(F.xxhash64(F.lit(seed + level), F.col("doc_id"), F.col("size"), F.col("__spread")), groups)
+        out = save(rows.withColumn("groups", groups).withColumn("bucket", key).groupBy("source_no", "bucket").applyInPandas(_rounder(level, seed, bucket, through), fields), f"mix-level{level}")
         settled.append(out.filter(~F.col("up")))
         rows = out.filter("up").drop("up")
         left = 0 if left <= bucket else -(-left // bucket)
         groups, level = F.ceil(groups / bucket), level + 1
-    if not settled:
-        settled = [rows]
     result = settled[0]
     for x in settled[1:]:
         result = result.unionByName(x)
-    return result.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return result.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *carry)

@@ -1,6 +1,8 @@
 import numpy as np
 
-from quarry.llm.mixing import mix_sources, pivot
+import pandas as pd
+
+from quarry.llm.mixing import _rounder, mix_sources, pivot
 from tests.llm.helpers import corpus, frame, words
 
 
@@ -87,3 +89,46 @@ def test_pivot_keeps_expectation_and_mass():
         assert abs((x * sizes).sum() - (p * sizes).sum()) < 1e-6
         mean += x
     assert np.abs(mean / n - p).max() < 0.04
+
+
+def tree(sizes, p, seed, bucket):
+    """Copies of one source's documents through the whole reduction tree, without Spark."""
+    n = len(sizes)
+    rows = pd.DataFrame({"doc_id": np.arange(n), "source_no": 1, "size": sizes, "source_size": sizes.sum(), "target": p * sizes.sum(), "n_docs": n, "copies": 0, "p": p, "way": 0})
+    groups, level, copies = -(-n // bucket), 0, np.zeros(n, np.int64)
+    while True:
+        fn, done = _rounder(level, seed, bucket, ()), []
+        of = np.random.default_rng(level).permutation(len(rows)) % groups
+        for b in range(groups):
+            done.append(fn(rows[of == b].assign(groups=groups, bucket=b)))
+        out = pd.concat(done)
+        settled = out[~out.up]
+        copies[settled.doc_id] = settled.copies
+        if groups == 1:
+            return copies
+        rows, groups, level = out[out.up].drop(columns="up"), -(-groups // bucket), level + 1
+
+
+def test_the_whole_tree_keeps_expectations_and_comes_near():
+    sizes, p, n = np.array([1 + i % 9 for i in range(150)] + [60]), 0.37, 500
+    mean, misses = np.zeros(len(sizes)), []
+    for seed in range(n):
+        copies = tree(sizes, p, seed, 16)
+        assert set(copies.tolist()) <= {0, 1}
+        mean += copies
+        misses.append(abs((copies * sizes).sum() - p * sizes.sum()))
+    error = (mean / n - p) / (p * (1 - p) / n) ** 0.5
+    assert np.abs(error).max() < 4.5 and abs(error.mean()) < 0.5 and abs(error[-1]) < 4
+    assert max(misses) <= 2
+
+
+def test_rows_without_id_and_words_do_not_share_a_bucket(spark):
+    """Many rows without doc_id, text or both are dealt like others."""
+    rows = [(None, None, None, "a", 0)] * 300 + [(None, "w x", None, "a", 0)] * 300 + [(i, "w " * (i % 4), None, "b", 0) for i in range(300)]
+    out = mix_sources(frame(spark, rows), bucket=16).collect()
+    assert len(out) == 900 and sum(r.size for r in out) == 600 + 450
+
+
+def test_a_very_long_text(spark):
+    out = mix_sources(frame(spark, [(1, "w " * 3_000_000, None, "a", 0), (2, "w", None, "a", 0)])).collect()
+    assert {r.doc_id: r.size for r in out} == {1: 3_000_000, 2: 1}
