@@ -2,7 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tests.llm.helpers import frame
+from quarry.llm.common import save
+from quarry.llm.mixing import mix_sources
+from quarry.llm.quality import classify
+from tests.llm.helpers import corpus, frame
+from tests.llm.test_decontam import plain_tiles, toks
+from tests.llm.test_linededup import brute as line_brute
+from tests.llm.test_neardup import brute as near_brute
 
 
 @pytest.fixture(scope="module")
@@ -36,8 +42,6 @@ def sf_dir(spark, tmp_path_factory):
 
 
 def test_stages(spark, sf_dir):
-    from quarry.llm.common import save
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, kept = docs.columns, [{r.doc_id for r in docs.collect()}]
     for name, stage in pipeline.STAGES[:-1]:
@@ -59,6 +63,73 @@ def test_stages(spark, sf_dir):
     assert sorted(map(repr, pipeline.run(spark, sf_dir).collect())) == sorted(map(repr, mixed))
 
 
+def brute_stage(name, rows, labels, items, scores):
+    """doc_id: text of what a stage keeps, by plain loops over rows (doc_id, text, source); the quality stage's scores are given."""
+    if name == "quality":
+        return {r[0]: r[1] for r in rows if scores[r[0]] >= 0.5}
+    if name == "line_dedup":
+        out = {r[0]: r for r in line_brute(rows)}
+        return {r[0]: out[r[0]][3] if out[r[0]][2] else r[1] for r in rows}
+    if name == "near_dedup":
+        parts = near_brute(rows, 5)
+        return {r[0]: r[1] for r in rows if parts[r[0]][1] == r[0]}
+    hit = set()
+    for r in rows:
+        for item in items:
+            words_ = toks(item)
+            tiles = plain_tiles(words_, toks(r[1]))
+            if len(words_) >= 4 and sum(t[0] for t in tiles) >= 0.5 * len(words_):
+                hit.add(r[0])
+    return {r[0]: r[1] for r in rows if r[0] not in hit}
+
+
+def test_each_stage_like_brute_force(spark, tmp_path):
+    import random
+
+    rng = random.Random(11)
+    items = [" ".join(f"b{rng.randrange(400)}" for _ in range(18)) for _ in range(3)]
+    docs = [r for r in corpus(13, 70) if len(r[1] or "") < 3000]
+    for i in range(12):
+        w = items[i % 3].split()
+        parts = [w[:9], w[9:]] if i % 2 else [w[9:], w[:9]]
+        docs.append((2000 + i, f"start {i} " + " mid ".join(map(" ".join, parts[: 1 + i % 3])) + f" end {i * 7}", "xx", "hot", 0))
+    for i in range(20):
+        docs.append((3000 + i, " ".join(rng.choice(["BUY!!", "NOW$$", "###"]) + str(rng.randrange(99)) for _ in range(30)), "xx", "a", 0))
+    labels = [(r[0], int(r[0] < 3000), 0) for r in docs]
+    root = str(tmp_path)
+    frame(spark, docs).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    scores = {r.doc_id: r.score for r in classify(frame(spark, docs), spark.read.parquet(f"{root}/labels.parquet")).collect()}
+    df, rows = spark.read.parquet(f"{root}/documents.parquet"), docs
+    for name, stage in pipeline.STAGES[:-1]:
+        want = brute_stage(name, rows, labels, items, scores)
+        df = save(stage(spark, df, root), name)
+        got = {r.doc_id: r for r in df.collect()}
+        assert {i: r.text for i, r in got.items()} == want, name
+        assert len(want) < len(rows) or name == "line_dedup"
+        rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in got.values()]
+    mixed = pipeline.STAGES[-1][1](spark, df, root).collect()
+    copies = {r.doc_id: r.copies for r in mix_sources(df).collect()}
+    assert sorted((r.doc_id, r.copy) for r in mixed) == sorted((i, c) for i, n in copies.items() for c in range(1, n + 1))
+
+
+def test_nulls_repeats_and_empty_side_tables(spark, tmp_path):
+    """Rows that repeat a doc_id with other texts, rows without id, and empty labels and benchmark: every row that is kept keeps its own text."""
+    root = str(tmp_path)
+    docs = [(1, "alpha beta gamma delta epsilon", "x", "a", 0), (1, "one two three four five six seven", "x", "a", 0), (None, "no id here at all", None, None, 0), (None, None, None, None, None), (2, "", "x", "a", 0), (3, "zeta eta theta iota", "x", "b", 0)] + [(4, "the same row again", "x", "b", 0)] * 3
+    frame(spark, docs).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    out = pipeline.run(spark, root).collect()
+    there = {(r[0], r[1]) for r in docs}
+    assert out and {(r.doc_id, r.text) for r in out} <= there
+    taken = {}
+    for r in out:
+        taken[r.source] = taken.get(r.source, 0) + len((r.text or "").split())
+    assert abs(sum(taken.values()) - sum(len((r[1] or "").split()) for r in docs)) <= 14
+
+
 def test_empty_and_clashing(spark, sf_dir):
     for name, stage in pipeline.STAGES:
         assert stage(spark, frame(spark, []), sf_dir).count() == 0
