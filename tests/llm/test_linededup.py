@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm.linededup import LineRuns, dedup_lines, without_repeats
+from quarry.llm.common import Work
+from quarry.llm.linededup import LineRuns, dedup_lines, repeated_lines, without_repeats
 from tests.llm.helpers import corpus, frame
 
 WS = " \t\n\x0b\x0c\r"
@@ -45,12 +47,58 @@ def test_empty_table(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_many_batches_and_deep_levels(spark, monkeypatch, fanout):
+    """Nine batches and more give what one gives."""
+    import quarry.llm.linededup as m
+
+    rows = corpus(2, 150)[:-1] + [(None, "a line that nobody has with an id\n" * 2, None, None, 0)]
+    size = sum(len((r[1] or "").encode()) for r in rows)
+    made, add = [], LineRuns.add
+    monkeypatch.setattr(LineRuns, "add", lambda self, keys: (add(self, keys), made.append([len(x) for x in self.levels]))[0])
+    monkeypatch.setattr(m, "FANOUT", fanout)
+    many = repeated_lines(frame(spark, rows), batch_bytes=size // 11, fanout=fanout)
+    assert len(made) >= 9 and len(made[-1]) >= 3
+    one = repeated_lines(frame(spark, rows), batch_bytes=1 << 40)
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, one.collect())) != []
+    assert got(dedup_lines(frame(spark, rows), batch_bytes=size // 11)) == brute(rows)
+
+
+def keys(spark, a, b):
+    return spark.range(a, b).select(F.col("id").alias("h1"), (-F.col("id")).alias("h2"), F.lit(1).cast("long").alias("n"), F.col("id").alias("top"))
+
+
 def test_runs_are_compacted_and_keep_what_was_seen(spark):
-    store, keys = LineRuns(fanout=2), lambda a, b: spark.range(a, b).select(F.col("id").alias("h1"), (-F.col("id")).alias("h2"))
+    store = LineRuns(spark, Work(spark, "runs"), fanout=2)
     for i in range(5):
-        batch = keys(i * 10, i * 10 + 15)
-        fresh = store.unseen(batch)
-        assert fresh.count() == (15 if i == 0 else 10)
-        store.add(fresh)
+        assert store.unseen(keys(spark, i * 10, i * 10 + 15)).count() == (15 if i == 0 else 10)
+        assert store.add(keys(spark, i * 10, i * 10 + 15)).count() == (0 if i == 0 else 5)
     assert len(store.runs()) == 2 and [len(x) for x in store.levels] == [1, 0, 1]
-    assert store.unseen(keys(0, 60)).count() == 5
+    assert store.unseen(keys(spark, 0, 60)).count() == 5
+    store.drop()
+
+
+def test_no_run_is_shuffled(spark):
+    store = LineRuns(spark, Work(spark, "runs"), fanout=4)
+    for i in range(3):
+        store.add(keys(spark, i * 10, i * 10 + 15))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(old, ("-1", "false")):
+            spark.conf.set(c, v)
+        held = keys(spark, 0, 60).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+        plan = store.marked(held)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 3
+        a, b = store.runs()[:2]
+        merged = a.alias("a").join(b.alias("b"), (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full_outer")
+        assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+        store.drop()
+
+
+def test_a_very_long_text(spark):
+    line = "a line that stands in three documents"
+    rows = [(i, f"{line}\n" + "word " * n + "\n" + "\n".join(f"line {j} of document {i} alone" for j in range(m)), None, None, 0) for i, (n, m) in enumerate([(2_000_000, 1), (1, 100_000), (1, 1)])]
+    assert got(dedup_lines(frame(spark, rows))) == brute(rows)
