@@ -9,19 +9,24 @@ against arrays held as scalars, without a join.
 
 Level 1 has a false-positive rate of about listed / (sqrt(2) * universe), the
 others 1/2, which keeps the sum of all levels near its least: it grows with the
-list and the logarithm of the universe. A filter beyond MAX_FILTER_BYTES isn't
-built: membership is then by a semi join.
+list and the logarithm of the universe. A list whose filters would be beyond
+MAX_FILTER_BYTES is dealt by key hash into as many cascades as keep each within that,
+and pages' keys pass them one after the other, each a scan with bit tests of its own.
 
 Defined cases: a url that is null or has no `://` has empty host and path and no
 rule; an empty table gives an empty result; repeated rows are judged alike; other
-columns are ignored.
+columns are ignored. Of rules that fit the one of most characters decides; there are no
+ties, for two of one length and page are the same. A url is worked on in its row,
+whatever its length: a candidate key for each of its host's labels and each length of
+rules' paths.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import save
@@ -47,77 +52,91 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
 
 
 class Level:
-    """One Bloom filter: bits as an array of longs."""
-
-    def __init__(self, spark: SparkSession, words: list[int], n_bits: int, hashes: int, number: int):
-        self.n_bits, self.hashes, self.number = n_bits, hashes, number
-        self.words = F.array(*[F.lit(w).cast("long") for w in words]) if len(words) <= 64 else spark.createDataFrame([(words,)], "words array<long>").scalar()
-
-    @staticmethod
-    def positions(key: Column, n_bits: int, hashes: int, number: int) -> list[Column]:
-        return [F.pmod(F.xxhash64(F.lit(1000 * number + i), key), F.lit(n_bits)) for i in range(hashes)]
-
-    @classmethod
-    def build(cls, keys: DataFrame, n: int, rate: float, number: int) -> Level:
-        n_bits = 64 * max(1, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
-        hashes = max(1, round(-math.log2(rate)))
-        at = keys.select(F.explode(F.array(*cls.positions(F.col("key"), n_bits, hashes, number))).alias("at"))
-        words = at.groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits"))
-        full = [0] * (n_bits // 64)  # as large as MAX_FILTER_BYTES at most
-        for row in words.toLocalIterator():
-            full[row.w] = row.bits
-        return cls(keys.sparkSession, full, n_bits, hashes, number)
+    """One Bloom filter: bits as an array of longs, which Spark makes and hands to the plan as a scalar."""
+
+    def __init__(self, keys: DataFrame, n: int, rate: float, number: int):
+        self.n_bits, self.hashes, self.number = 64 * max(1, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64)), max(1, round(-math.log2(rate))), number
+        at = keys.select(F.explode(F.array(*self._positions(F.col("key")))).alias("at"))
+        some = at.groupBy(F.floor(F.col("at") / 64).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits"))
+        whole = keys.sparkSession.range(self.n_bits // 64).join(some, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+        # One row, no larger than a cascade may be.
+        words = whole.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("w")).select(F.transform("w", lambda x: x["bits"]).alias("words"))
+        self.words = save(words, "cascade-level").scalar()
+
+    def _positions(self, key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(1000 * self.number + i), key), F.lit(self.n_bits)) for i in range(self.hashes)]
 
     def has(self, key: Column) -> Column:
         found = F.lit(True)
-        for at in self.positions(key, self.n_bits, self.hashes, self.number):
+        for at in self._positions(key):
             found = found & (F.bit_get(F.get(self.words, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1)
         return found
 
 
 class Cascade:
-    """Exact membership of listed keys over a universe. listed and universe: DataFrames of distinct `key`."""
+    """Exact membership of listed keys over a universe; listed and universe: DataFrames of distinct `key`. Keys are dealt by hash to as many shards, each a cascade, as keep the filters of one within max_bytes."""
 
     def __init__(self, listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_FILTER_BYTES):
-        self.levels: list[Level] = []
-        yes = save(listed.select("key").distinct(), "cascade-yes")
-        no = save(universe.select("key").distinct().join(yes, "key", "left_anti"), "cascade-no")
-        n_yes, n_no = yes.count(), no.count()
-        self.listed = yes
-        rate = min(0.5, max(1e-9, n_yes / (math.sqrt(2) * max(n_no, 1))))
-        self.exact = n_yes * -math.log(rate) / math.log(2) ** 2 / 8 <= max_bytes
-        inside, outside, n = yes, no, n_yes
-        while self.exact and n:
-            level = Level.build(inside, n, rate if not self.levels else 0.5, len(self.levels) + 1)
-            self.levels.append(level)
-            wrong = save(outside.filter(level.has(F.col("key"))), "cascade-wrong")
-            inside, outside, n = wrong, inside, wrong.count()
-
-    def member(self, key: Column) -> Column:
-        """Is a key of the universe listed? Without a join."""
-        answer = F.lit(len(self.levels) % 2 == 1)
-        for i in range(len(self.levels) - 1, -1, -1):
-            answer = F.when(self.levels[i].has(key), answer).otherwise(F.lit(i % 2 == 1))
-        return answer
-
-
-def filter_urls(pages: DataFrame, allow: list[str], block: list[str]) -> DataFrame:
+        self.yes = save(listed.select("key").distinct(), "cascade-yes")
+        self.no = save(universe.select("key").distinct().join(self.yes, "key", "left_anti"), "cascade-no")
+        n_yes, n_no = self.yes.count(), self.no.count()
+        self.rate = min(0.5, max(1e-9, n_yes / (math.sqrt(2) * max(n_no, 1))))
+        self.shards = max(1, math.ceil(n_yes * -math.log(self.rate) / math.log(2) ** 2 / 8 / max_bytes))
+
+    def _of(self, shard: int, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(77), key), F.lit(self.shards)) == shard if self.shards > 1 else F.lit(True)
+
+    def levels(self, shard: int) -> list[Level]:
+        inside, outside = (x.filter(self._of(shard, F.col("key"))) for x in (self.yes, self.no))
+        levels: list[Level] = []
+        while n := inside.count():
+            level = Level(inside, n, 0.5 if levels else self.rate, len(levels) + 1)
+            levels.append(level)
+            inside, outside = save(outside.filter(level.has(F.col("key"))), "cascade-wrong"), inside
+        return levels
+
+    def first(self, rows: DataFrame, keys: str, name: str) -> DataFrame:
+        """rows with the first of an array of keys that is listed, or null.
+
+        Keys are tested as rows of their own, since a filter is a scalar of the plan, which
+        lambdas can't see; rows of one page lie together, so that their sum is made before
+        it is shuffled.
+        """
+        columns = rows.columns
+        for shard in range(self.shards):
+            one = rows.withColumn("__row", F.monotonically_increasing_id()).select("*", F.posexplode_outer(keys).alias("__pos", "__key"))
+            hit = F.when(self.member(shard)(F.col("__key")), F.col("__pos"))
+            best = [F.min(hit).alias("__hit"), *[F.first(c).alias(c) for c in rows.columns]]
+            rows = one.groupBy("__row").agg(*best).drop("__row")
+            if "__at" in rows.columns:
+                rows = rows.withColumn("__hit", F.least("__hit", "__at")).drop("__at")
+            rows = rows.withColumnRenamed("__hit", "__at")
+            if self.shards > 1:
+                rows = save(rows, "cascade-pass")
+        return rows.select(*columns, F.when(F.col("__at").isNotNull(), F.get(keys, F.col("__at"))).alias(name))
+
+    def member(self, shard: int) -> Callable[[Column], Column]:
+        """Tells of a key of the universe whether it is listed, and of this shard. Without a join."""
+        levels = self.levels(shard)
+
+        def test(key: Column) -> Column:
+            answer = F.lit(len(levels) % 2 == 1)
+            for i in range(len(levels) - 1, -1, -1):
+                answer = F.when(levels[i].has(key), answer).otherwise(F.lit(i % 2 == 1))
+            return self._of(shard, key) & answer & key.isNotNull()
+
+        return test
+
+
+def filter_urls(pages: DataFrame, allow: list[str], block: list[str], max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict. Rules are `host/path`; the longest that fits decides, and a page that fits none of the listed keys is allowed."""
     spark = pages.sparkSession
     lengths = [len(r) - r.index("/") for r in [*allow, *block]]
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path).withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
-    universe = rows.select(F.explode("keys").alias("key")).distinct()
-    universe = save(universe, "url-keys")
-    of = {name: Cascade(spark.createDataFrame([(r,) for r in rules], "key string"), universe) for name, rules in (("block", block), ("listed", [*allow, *block]))}
-    if all(c.exact for c in of.values()):
-        rule = F.get(F.filter("keys", of["listed"].member), F.lit(0))
-        out = rows.withColumn("rule", rule)
-        blocked = F.col("rule").isNotNull() & of["block"].member(F.col("rule"))
-    else:
-        one = rows.select("page_id", "url", F.posexplode("keys").alias("at", "key"))
-        hits = one.join(of["listed"].listed, "key").groupBy("page_id", "url").agg(F.min_by("key", "at").alias("rule"))
-        hits = hits.join(of["block"].listed.select(F.col("key").alias("rule"), F.lit(True).alias("bad")), "rule", "left")
-        out = rows.alias("r").join(hits.alias("x"), F.col("r.page_id").eqNullSafe(F.col("x.page_id")) & F.col("r.url").eqNullSafe(F.col("x.url")), "left").select("r.page_id", "r.url", "r.host", "r.path", "x.rule", "x.bad")
-        blocked = F.coalesce(F.col("bad"), F.lit(False))
-    return out.select("page_id", "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"))
+    universe = save(rows.select(F.explode("keys").alias("key")).distinct(), "url-keys")
+    cascade = lambda rules: Cascade(spark.createDataFrame([(r,) for r in rules], "key string"), universe, max_bytes)
+    rows = cascade([*allow, *block]).first(rows, "keys", "rule")
+    rows = rows.withColumn("own", F.when(F.col("rule").isNotNull(), F.array("rule")).otherwise(F.array().cast("array<string>")))
+    rows = cascade(block).first(rows, "own", "bad")
+    return rows.select("page_id", "host", "path", "rule", F.when(F.col("bad").isNotNull(), "block").otherwise("allow").alias("verdict"))

@@ -32,20 +32,25 @@ def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).selectExpr("concat('k', id) AS key")
     listed = universe.filter("crc32(cast(key AS binary)) % 40 = 0")
     cascade = Cascade(listed, universe)
-    assert cascade.exact and len(cascade.levels) >= 2
-    found = universe.filter(cascade.member(universe.key))
+    assert cascade.shards == 1 and len(cascade.levels(0)) >= 2
+    found = universe.filter(cascade.member(0)(universe.key))
     assert sorted(r.key for r in found.collect()) == sorted(r.key for r in listed.collect())
 
 
-def test_beyond_the_limit_it_joins(spark):
-    import quarry.llm.urlfilter as m
+def test_lists_beyond_a_cascade_are_dealt_to_several(spark):
+    universe = spark.range(3_000).selectExpr("concat('k', id) AS key")
+    listed = universe.filter("crc32(cast(key AS binary)) % 10 = 0")
+    cascade = Cascade(listed, universe, max_bytes=60)
+    assert cascade.shards >= 3
+    rows = universe.selectExpr("key", "array(concat('k', cast(substring(key, 2) AS int) + 1), key) AS keys").filter("key <> 'k2999'")
+    want = {r.key for r in listed.collect()}
+    out = cascade.first(rows, "keys", "found").collect()
+    assert all(r.found == next((k for k in r["keys"] if k in want), None) for r in out) and len(out) == 2999
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    assert sorted(map(repr, filter_urls(df, ALLOW, BLOCK, max_bytes=3).collect())) == sorted(map(repr, filter_urls(df, ALLOW, BLOCK).collect()))
 
-    rows = [(i, u) for i, u in enumerate(URLS)]
-    df = spark.createDataFrame(rows, "page_id long, url string")
-    want = sorted(map(repr, filter_urls(df, ALLOW, BLOCK).collect()))
-    build = m.Cascade
-    try:
-        m.Cascade = lambda a, b: build(a, b, max_bytes=0)
-        assert sorted(map(repr, filter_urls(df, ALLOW, BLOCK).collect())) == want
-    finally:
-        m.Cascade = build
+
+def test_a_very_long_url(spark):
+    long = "http://" + ".".join(["a"] * 60) + ".example.org/es/" + "x" * 1_000_000
+    (r,) = filter_urls(spark.createDataFrame([(1, long)], "page_id long, url string"), ALLOW, BLOCK).collect()
+    assert (r.host, r.path, r.rule, r.verdict) == brute(long)
