@@ -5,15 +5,17 @@ credentials: of each kind a bounded number, the least by hash, becomes a prefix
 over character classes, and states whose continuations are statistically alike
 (Hoeffding bound) are merged into a probabilistic automaton. Every run of
 credential characters, or part of one that base spans leave, of at least the least
-length of a labelled value is a candidate; it is added if some
-automaton makes it likelier, per character, than the letters of the other candidates
-do, by at least as much as nearly all labelled credentials are.
+length of a labelled value is a candidate; it is added if some automaton makes it
+about as likely, per character, as nearly all labelled credentials, and likelier than the
+letters of the other candidates do by at least as much as those are.
 
 Defined cases: a null text is empty; a document without spans has empty strings and
 the hash of the empty string; with no labelled credential nothing is added, and a kind with
-few is fitted on those; ties of
-likelihood go to the kind listed first; repeated rows are scanned alike; an empty
-table gives an empty result; other columns are ignored.
+few is fitted on those; ties need no
+order, since one automaton that accepts is enough; repeated rows are scanned alike; an
+empty table gives an empty result; other columns are ignored. A text is scanned as a
+whole in its worker, in about six times its bytes of memory, and a batch of them in as
+much more as its other texts have.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import save
@@ -43,6 +45,8 @@ SAMPLE = 250
 ALPHA = 0.01
 #: Share of labelled credentials that a threshold may turn away.
 MISSED = 0.02
+#: Nats a character that a candidate may be less likely than those: it may begin and end as no labelled one does.
+SLACK = 0.5
 
 CLASSES = {**{c: "d" for c in "0123456789"}, **{c: "h" for c in "abcdef"}, **{c: "l" for c in "ghijklmnopqrstuvwxyz"}, **{c: "U" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}}
 SIZES = Counter(CLASSES.values())
@@ -184,14 +188,18 @@ class Grammar:
                 continue
             half = [v for i, v in enumerate(values) if i % 4] or values
             auto = Automaton([classes(v) for v in half])
-            scores = sorted(self._gain(auto, v) for v in values)
-            self.kinds[kind] = (auto, max(0.3, scores[int(MISSED * len(scores))]))
+            at = int(MISSED * len(values))
+            gains, fits = sorted(self._gain(auto, v) for v in values), sorted(self._fit(auto, v) for v in values)
+            self.kinds[kind] = (auto, max(0.3, gains[at]), fits[at] - SLACK)
+
+    def _fit(self, auto: Automaton, value: str) -> float:
+        return auto.log_likelihood(value) / max(1, len(value))
 
     def _gain(self, auto: Automaton, value: str) -> float:
         return (auto.log_likelihood(value) - sum(self.other.get(c, -8.0) for c in value)) / max(1, len(value))
 
     def accepts(self, value: str) -> bool:
-        return any(self._gain(auto, value) >= low for auto, low in self.kinds.values())
+        return any(self._gain(auto, value) >= low and self._fit(auto, value) >= least for auto, low, least in self.kinds.values())
 
 
 def _report(shared):
@@ -222,7 +230,11 @@ def _report(shared):
 def learn(found: DataFrame, sample: int = SAMPLE) -> Grammar:
     """From scanned documents: `sample` distinct values of each kind at most come to the driver, and a count for each letter."""
     values = found.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
-    labelled = {k: [r.value for r in values.filter(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample).collect()] for k in range(3)}
+    # The rank's limit is taken in each task before its shuffle, so a kind's values don't meet.
+    least = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+    labelled: dict[int, list[str]] = {k: [] for k in range(3)}
+    for r in values.withColumn("at", F.row_number().over(least)).filter(F.col("at") <= sample).orderBy("kind", "at").collect():
+        labelled[r.kind].append(r.value)
     letters = found.select(F.explode("more").alias("m")).select(F.explode(F.split("m.value", "")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     return Grammar(labelled, {r.c: r.n for r in letters.collect()})
 

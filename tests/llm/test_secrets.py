@@ -1,7 +1,8 @@
+import math
 import random
 import re
 
-from quarry.llm.secrets import Automaton, Grammar, base_spans, candidates, classes, scan
+from quarry.llm.secrets import SIZES, Automaton, Grammar, base_spans, candidates, classes, scan
 from tests.llm.helpers import frame, sha
 
 KINDS = ("assign", "access", "hex")
@@ -94,3 +95,66 @@ def test_a_kind_with_few_labelled_values_is_fitted():
         grammar = Grammar({0: [], 1: values, 2: []}, letters)
         assert all(map(grammar.accepts, values)) and set(grammar.kinds) == {1}
         assert not any(map(grammar.accepts, ["thandthationening", "mail6.example.com", "internationalization"]))
+
+
+def test_recall_of_credentials_without_their_marker(spark):
+    """Credentials of the labelled forms, behind no listed word: most are added, and little else is."""
+    rng = random.Random(8)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    mixed = lambda: draw(lower + upper + digits, 24)
+    access = lambda: draw(upper + digits, 16)
+    syllable = lambda: rng.choice(["tion", "ber", "an", "ing", "ver", "lo", "ma", "Ein", "heit"])
+    word = lambda n: "".join(syllable() for _ in range(n))
+    others = [lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: f"{word(3)}.example.com", lambda: word(6), lambda: f"{word(2)}/{word(2)}/{word(2)}.txt", lambda: f"20{rng.randrange(10, 30)}-0{rng.randrange(1, 10)}-1{rng.randrange(10)}-{word(2)}", lambda: "-" * rng.randrange(12, 40)]
+    rows, planted, plain = [], {}, {}
+    for i in range(1300):
+        text = " ".join(word(rng.randrange(1, 4)) for _ in range(20))
+        if i < 200:
+            text += f" password={mixed()} " + word(2)
+        elif i < 300:
+            text += f" AKIA{access()} " + word(2)
+        elif i < 400:
+            secret = mixed() if i % 2 else "ASIA" + access()
+            planted[i] = f"{len(text) + 8}:{len(text) + 8 + len(secret)}"
+            text += f" pwd is {secret} " + word(2)
+        else:
+            plain[i] = 3
+            text += " ".join(["", *(rng.choice(others)() for _ in range(3)), word(2)])
+        rows.append((i, text, None, None, 0))
+    out = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("grammar")] for r in scan(frame(spark, rows)).collect()}
+    found = sum(f"grammar:{at}" in out[i] for i, at in planted.items())
+    assert found >= 0.9 * len(planted)
+    assert sum(len(out[i]) for i in out if i not in planted) <= 0.01 * sum(plain.values())
+
+
+def test_automaton_against_plain_loops():
+    """Without merging, probabilities are the shares of the labelled values; with it, each state's still sum to 1, and a likelihood is their product along the way."""
+    rng = random.Random(9)
+    values = secrets(rng, 60) + ["ab12", "ab12", "abzz"]
+    strings = [classes(v) for v in values]
+    tree = Automaton(strings, alpha=2)  # a bound of 0: only states of equal shares merge
+    for auto in (tree, Automaton(strings)):
+        for edges, end in auto.states:
+            assert abs(sum(p for _, p in edges.values()) + end - 1) < 1e-9
+    for v in ("ab12", "abzz", values[0]):
+        c, p = classes(v), 1.0
+        for i in range(len(c)):
+            own = [s for s in strings if s.startswith(c[:i])]
+            p *= (0.999 * sum(s.startswith(c[: i + 1]) for s in own) / len(own) + 0.001 / 12) / SIZES.get(c[i], 1)
+        own = [s for s in strings if s.startswith(c)]
+        p *= 0.999 * sum(s == c for s in own) / len(own) + 0.001
+        q, product = 0, 1.0
+        for x in c:
+            to, share = tree.states[q][0].get(x, (q, 0.0))
+            product *= (0.999 * share + 0.001 / 12) / SIZES.get(x, 1)
+            q = to
+        product *= 0.999 * tree.states[q][1] + 0.001
+        assert math.isclose(math.exp(tree.log_likelihood(v)), product, rel_tol=1e-9) and math.isclose(p, product, rel_tol=0.35)
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 1_000_000 + "password=abcdefghijkl0123" + " x" * 500_000 + "A" * 1_000_000
+    (r,) = scan(frame(spark, [(1, text, None, None, 0)])).collect()
+    at = 5_000_000
+    assert r.n_assign == 1 and r.base_sha256 == sha(f"assign:{at}:{at + 25}")
