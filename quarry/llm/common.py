@@ -40,6 +40,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes whose words are hashed at once.
+SPAN = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -110,10 +112,17 @@ class Words:
             last[edge - 1] = inside[edge - 1]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.rows = np.searchsorted(self.starts, offsets)  # of each text, and the end
-        p, inv = _powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_byte_hash(lower, seed)[raw] * p[:n], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * inv[self.starts] + (self.ends - self.starts).astype(np.uint64) * _M1)
+        self.hashes, values, i = np.empty(len(self.starts), np.uint64), _byte_hash(lower, seed), 0
+        while i < len(self.starts):  # a hash doesn't depend on the place, so some bytes at once, or one word, will do
+            base = int(self.starts[i])
+            j = max(i + 1, int(np.searchsorted(self.ends, base + SPAN, "right")))
+            begin, end = self.starts[i:j] - base, self.ends[i:j] - base
+            m = int(end[-1])
+            p, inv = _powers(m + 1)
+            sums = np.zeros(m + 1, np.uint64)
+            np.cumsum(values[raw[base : base + m]] * p[:m], out=sums[1:])
+            self.hashes[i:j] = mix((sums[end] - sums[begin]) * inv[begin] + (end - begin).astype(np.uint64) * _M1)
+            i = j
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and whether they are of one text."""

@@ -13,9 +13,11 @@ size, each block against all documents, so documents are never shuffled and a
 benchmark of any size costs one scan for each block.
 
 Defined cases: null or empty texts have no words; items of fewer words than a seed
-match nothing; items that repeat are matched each; rows that repeat a doc_id are
+match nothing, for so few words stand in many clean documents; of tiles of one length
+the leftmost in the item, then in the document, is marked first; items that repeat are matched each; rows that repeat a doc_id are
 matched each and their hits are one; an empty table, of either kind, gives an empty
-result; other columns are ignored.
+result; other columns are ignored. A worker takes texts in pieces of 1 MB, or one text
+if it is longer: about 30 times its bytes of memory.
 """
 
 from __future__ import annotations
@@ -61,10 +63,10 @@ def prefix_sums(words: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * p[: len(words)])])
 
 
-def match_lengths(item: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """How far item[p:] and doc[q:] agree, for each pair: window hashes, doubling and halving the length."""
+def match_lengths(item: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """How far item[p:] and doc[q:] agree, for each pair: window hashes, doubling and halving the length. sums: the document's prefix sums."""
     _, inv = _powers(max(len(item), len(doc)) + 1)
-    a, b = prefix_sums(item), prefix_sums(doc)
+    a, b = prefix_sums(item), prefix_sums(doc) if sums is None else sums
     size = np.zeros(len(p), np.int64)
     step = 1 << max(0, len(item).bit_length() - 1)
     while step:
@@ -78,9 +80,9 @@ def match_lengths(item: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarra
     return size
 
 
-def tile(item: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
+def tile(item: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, least: int = SEED, sums: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Tiles (place in item, place in doc, words), longest first, from the seeds at p and q."""
-    heap = [(-int(n), int(x), int(y)) for n, x, y in zip(match_lengths(item, doc, p, q), p, q) if n >= least]
+    heap = [(-int(n), int(x), int(y)) for n, x, y in zip(match_lengths(item, doc, p, q, sums), p, q) if n >= least]
     heapq.heapify(heap)
     used_p, used_q, out = np.zeros(len(item), bool), set(), []
     while heap:
@@ -122,14 +124,17 @@ def hits_in(words: Words, items: Items, threshold: float) -> list[tuple[int, int
     last = np.concatenate([edge[1:], [len(doc)]]) - 1
     reach[last] = k
     covered = np.add.reduceat(reach, edge)
-    out = []
+    out, known, sums = [], -1, None
     for e, end, c in zip(edge, last + 1, covered):
         i, d = int(item[e]), int(doc[e])
         own = items.words[items.rows[i] : items.rows[i + 1]]
         if c < threshold * len(own):
             continue
         lo = int(words.rows[d])
-        tiles = tile(own, words.hashes[lo : words.rows[d + 1]], place[e:end], q[e:end] - lo, k)
+        text = words.hashes[lo : words.rows[d + 1]]
+        if d != known:
+            known, sums = d, prefix_sums(text)
+        tiles = tile(own, text, place[e:end], q[e:end] - lo, k, sums)
         n = sum(t[2] for t in tiles)
         if n >= threshold * len(own):
             out.append((d, i, n, len(tiles), n / len(own)))

@@ -12,7 +12,9 @@ most about `max_docs` labelled documents of each language, chosen by hash.
 Defined cases: a null text, or one without a letter, is `und` with score 0; if no
 document is labelled, all are `und`; ties go to the language that sorts first;
 rows of null doc_id are neither held out nor learned from; repeated rows are
-judged alike; an empty table gives an empty result; other columns are ignored.
+judged alike; an empty table gives an empty result; other columns are ignored. A worker
+takes texts in pieces of 1 MB, or one text if it is longer: about 20 times its bytes of
+memory, for what is inferred on is a count for each of the table's codes.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import buffers, pieces
 
 TABLE = 1 << 16
-MAX_DOCS = 3000
+#: Labelled documents of a language, about, and languages, those of most documents, that the model is fitted on.
+MAX_DOCS, MAX_LANGS = 3000, 256
 SMOOTH = 0.1
 ROUNDS = 8
 PIECE = 1 << 20
@@ -41,7 +44,7 @@ def held_out(doc_id: Column) -> Column:
 def pick(rows: DataFrame, by: str, most: int) -> DataFrame:
     """About `most` rows of each value of `by` (doc_id and by; rows of null are left out), chosen by hash of doc_id."""
     rows = rows.filter(F.col(by).isNotNull() & F.col("doc_id").isNotNull())
-    counts = F.broadcast(rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")))
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     return rows.join(counts, by).filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) * F.col("_n") < F.lit(most * (1 << 30)).cast("long")).drop("_n")
 
 
@@ -90,6 +93,11 @@ def _count(batches):
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log probability of each trigram code in each: a table of fixed size."""
     labelled = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text").filter("text is not null")
+    # The bound of what comes to the driver: MAX_LANGS names, and as many numbers a language as the table has codes.
+    known = [r.lang for r in labelled.filter("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
+    if not known:
+        return [], np.zeros((TABLE, 1), np.float32)
+    labelled = labelled.filter(F.col("lang").isin(known))
     counts = pick(labelled, "lang", max_docs).select("lang", "text").mapInArrow(_count, "lang string, code int, n long")
     got = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got.lang.unique())

@@ -37,7 +37,7 @@ nothing; fewer than k words are one shingle; rows that repeat a doc_id are one
 document, and if their texts differ one of them is compared; a row without doc_id is
 linked with nothing, has no component and is kept; an empty table gives an empty
 result; ties go by doc_id; other columns are ignored. A worker takes texts in pieces
-of 1 MB, or one text if it is longer: about 60 times its bytes of memory.
+of 1 MB, or one text if it is longer: about 25 times its bytes of memory.
 """
 
 from __future__ import annotations

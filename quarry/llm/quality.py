@@ -12,7 +12,9 @@ Defined cases: a null text is an empty one, which is scored by its repetition
 indicators and the bias; with no labels, or one class only, every score is that
 class's share (1 with none); several labels of a document count as their least;
 labels of null doc_id or quality are left out; repeated rows score alike; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored; a score of exactly 0.5 counts
+as 1. A worker takes texts in pieces of 1 MB, or one text if it is longer: about 25
+times its bytes of memory.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, buffers, pieces
+from quarry.llm.common import Words, buffers, pieces, save
 from quarry.llm.langid import held_out
 
 TABLE = 1 << 16
 EXTRA = 16  # indicators of repetition, after the table
-MAX_TRAIN = 12_000
+#: Labelled documents that the model is fitted on, about, and indices of features in all of them at most.
+MAX_TRAIN, MAX_INDICES = 12_000, 1 << 25
 COST, EPOCHS = 0.1, 12
 PIECE = 1 << 20
 
@@ -172,12 +175,21 @@ def fitted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tu
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
     n = usable.count()
     some = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) * F.lit(n) < F.lit(max_train * (1 << 30)).cast("long"))
-    # About max_train rows of 12 bytes: the bound of this broadcast and of what comes to the driver.
-    drawn = docs.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text").mapInArrow(_extract, "doc_id long, label int, features array<int>").toArrow()
-    drawn = drawn.sort_by("doc_id")
+    # About max_train rows of 12 bytes: the bound of this broadcast.
+    drawn = save(docs.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text").mapInArrow(_extract, "doc_id long, label int, features array<int>"), "quality-sample")
+    # Sizes first: those documents come to the driver, in order of hash, that hold MAX_INDICES in all.
+    order = F.xxhash64("doc_id", F.lit(31))
+    sizes = drawn.select(order.alias("at"), F.size("features").alias("n")).toArrow().sort_by("at")
+    fit_in = np.searchsorted(np.cumsum(sizes.column("n").to_numpy().astype(np.int64)), MAX_INDICES, "right")
+    if fit_in < sizes.num_rows:
+        drawn = drawn.filter(order < F.lit(sizes.column("at")[int(fit_in)].as_py()))
+    drawn = drawn.toArrow().sort_by("doc_id")
     flat = drawn.column("features").combine_chunks() if drawn.num_rows else None
     rows = [flat[i].values.to_numpy() for i in range(drawn.num_rows)]
-    return fit(rows, drawn.column("label").to_numpy().astype(np.int64) if drawn.num_rows else np.zeros(0, np.int64))
+    model = fit(rows, drawn.column("label").to_numpy().astype(np.int64) if drawn.num_rows else np.zeros(0, np.int64))
+    del drawn, flat, rows
+    pa.default_memory_pool().release_unused()  # of the driver, which keeps the session
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:

@@ -16,7 +16,9 @@ block wins.
 Defined cases: a null text has no words; a document of fewer than 20 words loses
 none; rows that repeat a doc_id, and rows without one (which come last), are
 ordered by text, and each counts as a document of its own; an empty table gives
-an empty result; other columns are ignored.
+an empty result; other columns are ignored. There are no ties but equal texts of one
+doc_id, which are interchangeable. A text is in one block, with about 40 times its
+bytes of memory.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ _Q2 = np.uint64(0xA24BAED4963EE407)
 
 
 def parts_for(blocks: int) -> int:
-    """Ranges of hashes: a power of two near the number of blocks."""
-    return 1 << max(3, min(16, (blocks - 1).bit_length()))
+    """Ranges of hashes: a power of two near the number of blocks, and from 2^20 blocks on a sixteenth of it, so that a range's bytes stay bounded and a block's rows few."""
+    size = (blocks - 1).bit_length()
+    return 1 << max(3, min(16, size), size - 4)
 
 
 class Block:
@@ -81,8 +84,8 @@ class Block:
 
 def _slices(hashes: np.ndarray, parts: int):
     shift = np.uint64(64 - (parts.bit_length() - 1))
-    edges = np.searchsorted(hashes >> shift, np.arange(parts + 1))
-    return [(p, int(edges[p]), int(edges[p + 1])) for p in range(parts) if edges[p] < edges[p + 1]]
+    there, first = np.unique(hashes >> shift, return_index=True)
+    return list(zip(there.tolist(), first.tolist(), [*first[1:].tolist(), len(hashes)]))
 
 
 def _packed(block: int, rows: list[tuple[int, bytes]], kind: int) -> pa.Table:
