@@ -2,7 +2,8 @@
 
 A block is a unit that any executor can rebuild from the input: its rows, in order
 of doc_id, are the same each time, so later stages need only send it bits about
-what it sent out. Its size doesn't grow with the input; their number does.
+what it sent out. Its size doesn't grow with the input up to MOST_BLOCKS of them; their
+number does. Rows without doc_id are in the last block.
 """
 
 from __future__ import annotations
@@ -13,21 +14,49 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import save
+
 BLOCK_BYTES = 6 << 20
-#: Above so many blocks they get larger instead, up to what a worker holds.
+#: Above so many blocks (6 TB of text) they get larger instead: the driver holds a number for each, and the plan names them.
 MOST_BLOCKS = 1 << 20
+#: Cells that bytes are first counted in, for each block, and bits by which one that has too many is split.
+CELLS, SPLIT = 4, 6
 LOWEST = -(1 << 63)
 
 
 def cut_points(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[int]:
-    """Ascending first doc_ids of all blocks but the first."""
-    total, low, high = docs.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
+    """Ascending first doc_ids of all blocks but the first, so that each has about block_bytes, or one document.
+
+    Bytes are counted in cells of equal width, a few for each block; a cell that holds
+    more than half a block, where doc_ids are dense or documents long, is split and
+    counted again. Then cells are taken together in order.
+    """
+    sized = save(docs.filter("doc_id is not null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "block-sizes")
+    total, low, high = sized.agg(F.sum("bytes"), F.min("doc_id"), F.max("doc_id")).first()
     n = min(MOST_BLOCKS, -(-(total or 0) // block_bytes))
-    if n < 2 or low is None:
+    if n < 2:
         return []
-    # approxQuantile works in doubles, which hold offsets from the least id better than ids.
-    found = docs.filter("doc_id is not null").select((F.col("doc_id") - F.lit(low)).alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.1 / n)
-    return sorted({low + int(x) for x in found} - {low})
+    size = total / n
+    bits = min(63, ((high - low) // (CELLS * n)).bit_length())  # of a doc_id, which a cell leaves open
+    open_, done = sized, []
+    while True:
+        cell = F.shiftright("doc_id", bits)
+        found = open_.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes")).toArrow()
+        cells, of = found.column("cell").to_numpy().astype(np.int64), found.column("bytes").to_numpy()
+        heavy = (of > size / 2) & (bits > 0)
+        done += [(int(c) << bits, int(b)) for c, b in zip(cells[~heavy], of[~heavy])]
+        if not heavy.any():
+            break
+        some = docs.sparkSession.createDataFrame(pa.table({"cell": cells[heavy]}))
+        open_ = open_.withColumn("cell", cell).join(some, "cell", "left_semi").drop("cell")
+        bits = max(0, bits - SPLIT)
+    cuts, held = [], 0
+    for start, of_cell in sorted(done):
+        if held and held + of_cell > size:
+            cuts.append(start)
+            held = 0
+        held += of_cell
+    return sorted({c for c in cuts if low < c <= high})
 
 
 def _numbers(values: list[int]) -> Column:

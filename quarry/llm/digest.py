@@ -184,9 +184,9 @@ def _block(table: pa.Table) -> pa.Table:
 def digests(docs: DataFrame) -> DataFrame:
     """Fingerprint of each text of docs (doc_id, text) and of its edited text, and their likeness to each other and to the next document's."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), F.col("text").cast("string").alias("text"))
-    cuts = cut_points(rows)
+    cuts = cut_points(rows.filter("not none"))
     rows = rows.withColumn("block", block_of(F.col("doc_id"), cuts))
-    # One number a block, of which the driver holds at most MOST_BLOCKS.
+    # One number a block.
     heads = {r.block: r.top for r in rows.groupBy("block").agg(F.max("doc_id").alias("top")).toLocalIterator()}
     order = sorted(heads)
     if len(order) > 1:

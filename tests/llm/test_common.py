@@ -53,6 +53,19 @@ def test_blocks(spark):
     assert {r.b for r in df.select(block_of(df.doc_id, []).alias("b")).collect()} == {0}
 
 
+def test_blocks_of_dense_ids_and_long_documents_are_alike(spark):
+    """A far id, a dense run, and a run of long documents: no block has much more than it should."""
+    size = {i: 20 for i in range(3000)} | {5000 + i: 4000 if i < 20 else 10 for i in range(100)} | {1 << 60: 30, -(1 << 62): 30}
+    df = spark.createDataFrame([(i, "x" * n, None, None, 0) for i, n in size.items()], DOCS)
+    cuts = cut_points(df, 5000)
+    assert cuts == sorted(set(cuts)) and 20 < len(cuts) < 80
+    got = {}
+    for r in df.select("doc_id", block_of(df.doc_id, cuts).alias("b")).collect():
+        got[r.b] = got.get(r.b, 0) + size[r.doc_id]
+    assert max(got.values()) <= 10_000
+    assert cut_points(frame(spark, []), 10) == [] and cut_points(df.filter("doc_id = 1"), 1) == []
+
+
 def test_saved_tables_can_be_cleared(spark):
     df = save(spark.range(5), "some")
     path = df.inputFiles()[0].removeprefix("file://")
