@@ -14,8 +14,9 @@ block is settled there: its first occurrence stands for the block, and a lower
 block wins.
 
 Defined cases: a null text has no words; a document of fewer than 20 words loses
-none; rows that repeat a doc_id, and rows without one (which come last), are
-ordered by text, and each counts as a document of its own; an empty table gives
+none; rows that repeat a doc_id are ordered by text, and each counts as a document of
+its own; rows without one come last, by block, which a hash of their text names, and
+then by text; an empty table gives
 an empty result; other columns are ignored. There are no ties but equal texts of one
 doc_id, which are interchangeable. A text is in one block, with about 40 times its
 bytes of memory.
@@ -190,8 +191,12 @@ def remove_repeats(docs: DataFrame, digest: bool = False, block_bytes: int = BLO
     """doc_id, n_words, n_removed and kept_text (or its kept_sha256, which is made where the text is) of each row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = cut_points(rows, block_bytes)
-    parts = parts_for(len(cuts) + 1)
-    blocks = rows.withColumn("block", block_of(F.col("doc_id"), cuts)).select("block", "doc_id", "text")
+    # Rows without doc_id come last, in blocks by hash of their text.
+    none = rows.filter("doc_id is null").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    more = max(1, -(-none // block_bytes))
+    parts = parts_for(len(cuts) + more)
+    place = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(more)).cast("int")).otherwise(0)
+    blocks = rows.withColumn("block", block_of(F.col("doc_id"), cuts) + place).select("block", "doc_id", "text")
     packed = "block int, kind int, part int, data binary"
     anchors = blocks.groupBy("block").applyInArrow(_send_anchors(parts), packed)
     known = anchors.groupBy("part").applyInArrow(_meet_anchors, packed)

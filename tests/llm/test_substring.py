@@ -49,3 +49,16 @@ def test_digest_is_that_of_the_text(spark):
     df = frame(spark, corpus(5, 40))
     text = {r.doc_id: sha(r.kept_text) for r in remove_repeats(df).collect()}
     assert text == {r.doc_id: r.kept_sha256 for r in remove_repeats(df, digest=True).collect()}
+
+
+def test_many_rows_without_id_are_spread(spark):
+    rows = [(None, " ".join(f"t{i % 40}w{j}" for j in range(40)), None, None, 0) for i in range(400)] + [(3, " ".join(f"t7w{j}" for j in range(40)), None, None, 0)]
+    out = remove_repeats(frame(spark, rows), block_bytes=5000).collect()
+    assert len(out) == 401 and sum(r.n_removed == 40 for r in out) == 361
+    assert [r.n_removed for r in out if r.doc_id == 3] == [0]
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(1, long, None, None, 0), (2, "x " + " ".join(f"w{i}" for i in range(100_000, 100_030)) + " y", None, None, 0)]
+    assert [(r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(frame(spark, rows)).orderBy("doc_id").collect()] == [(1, 400_000, 0), (2, 32, 30)]
