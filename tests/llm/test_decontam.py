@@ -88,3 +88,10 @@ def test_match_lengths_and_tiles():
         assert n == m
     own = [t[2] for t in tile(item, doc, p, q, 3)]
     assert own == sorted(own, reverse=True) and own == [t[0] for t in plain_tiles(item.tolist(), doc.tolist(), 3)]
+
+
+def test_a_very_long_text(spark):
+    item = " ".join(f"b{i}" for i in range(30))
+    rows = [(1, "filler word " * 500_000 + item[: len(item) // 2] + " between " * 5 + item[len(item) // 2 :] + " rest" * 100_000, None, None, 0), (2, "filler word " * 500_000, None, None, 0)]
+    out = contaminated(frame(spark, rows), spark.createDataFrame([(7, item), (8, "filler word filler")], ITEMS)).collect()
+    assert [(r.doc_id, r.item_id) for r in out] == [(1, 7)]

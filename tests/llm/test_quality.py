@@ -71,3 +71,43 @@ def test_dual_coordinate_descent_meets_the_optimum():
         if i % 100 == 0:
             best = min(best, objective(v, c))
     assert objective(w, b) <= best * 1.01
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    docs, labels = data(80)
+    docs += [(900, "the than erin " * 400_000, None, None, 0), (901, "X$$$" * 1_000_000, None, None, 0)]
+    df = frame(spark, docs).selectExpr("*", "'a' AS score", "'b' AS held_out", "'c' AS predicted", "'d' AS label", "'e' AS features")
+    out = {r.doc_id: r for r in classify(df, labelled(spark, labels)).collect()}
+    assert len(out) == 82 and out[901].predicted == 0 and all(0 <= r.score <= 1 for r in out.values())
+    assert keep_good(df, labelled(spark, labels)).columns == df.columns
+
+
+def test_scores_by_plain_loops(spark):
+    """Features, their sum of weights and the curve, without tables of indices."""
+    from quarry.llm.quality import fitted
+
+    docs, labels = data(60)
+    df = frame(spark, docs)
+    w, b = fitted(df, labelled(spark, labels))
+    out = {r.doc_id: r.score for r in classify(df, labelled(spark, labels)).collect()}
+    for i, t, *_ in docs:
+        raw, words_ = t.encode(), t.split()
+        code = lambda a, b, c: (lambda x: (x ^ x >> 15) >> 16)((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF)
+        at = {code(*raw[j : j + 3]) for j in range(len(raw) - 2)}
+        n = len(words_)
+        same = sum(x == y for x, y in zip(words_, words_[1:])) / max(1, n)
+        distinct = len(set(words_)) / max(1, n) ** 0.8
+        at |= {65536 + sum(same >= x for x in (0.001, 0.02, 0.1, 0.3)), 65541 + sum(distinct >= x for x in (0.1, 0.3, 0.6, 1.0)), 65546 + sum(n >= x for x in (1, 5, 20, 60, 200))}
+        assert abs(out[i] - 1 / (1 + np.exp(-(sum(w[j] for j in at) + b)))) < 1e-9
+
+
+def test_a_sample_beyond_the_indices_is_cut(spark, monkeypatch):
+    import quarry.llm.quality as m
+
+    docs, labels = data(120)
+    seen = []
+    monkeypatch.setattr(m, "fit", lambda rows, y: seen.append(sum(map(len, rows))) or (np.zeros(m.TABLE + m.EXTRA), 0.0))
+    m.fitted(frame(spark, docs), labelled(spark, labels))
+    monkeypatch.setattr(m, "MAX_INDICES", seen[0] // 2)
+    m.fitted(frame(spark, docs), labelled(spark, labels))
+    assert seen[0] // 4 < seen[1] <= seen[0] // 2
