@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, context, evaluate, incremental, vectors
+from quarry.operators import bm25, chunking, context, evaluate, incremental, vectors
+from quarry.operators.answers import generate
+from quarry.operators.retrievers import Lexical
 from quarry.plans import index
-from quarry.plans.queries import CORPUS, INDEX, QUESTIONS, SCORES, STRIP, WINDOWS, _corpus, _questions, _spans, _table, _vectors, _with
+from quarry.plans.queries import CORPUS, INDEX, ONE_QUERY, QUESTIONS, SCORES, STRIP, WINDOWS, _corpus, _questions, _spans, _table, _vectors, _with
 from quarry.sources import files
 from quarry.sources.work import Work, filesystem
 
@@ -168,6 +170,50 @@ def searched_files(spark: SparkSession, d: str) -> DataFrame:
     return files.read_results(spark, path).select("question_id", F.size("retrieved_sources").cast("long").alias("n"), F.col("retrieved_sources")[0]["file_path"].alias("best"))
 
 
+def reindex_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many files an index update found added, changed, deleted or unchanged: one directory is renamed, some files change."""
+    at = Work(spark, "counted").at
+    root = _make_files(spark, d, f"{at}/raw")
+    index.index(spark, f"{at}/raw", f"{at}/index", root=root)
+    _make_files(spark, d, f"{at}/raw", " and more")
+    fs, _ = filesystem(spark, at)
+    fs.rename(filesystem(spark, f"{at}/raw/src/0.md")[1], filesystem(spark, f"{at}/raw/src/new.md")[1])
+    _, counts = index.index_incremental(spark, f"{at}/raw", f"{at}/index", root=root)
+    return spark.createDataFrame(sorted(counts.items()), "status string, n long")
+
+
+def cached_search(spark: SparkSession, d: str) -> DataFrame:
+    """One query searched twice, the second time from the cache, and what the cache holds."""
+    at = Work(spark, "cached").at
+    root = _make_files(spark, d, f"{at}/raw")
+    index.index(spark, f"{at}/raw", f"{at}/index", root=root)
+    found = [index.search(spark, ONE_QUERY, 4, f"{at}/index", cache_dir=f"{at}/cache") for _ in range(2)]
+    rows = [(n + 1, i + 1, s["file_path"], s["last_character_index"]) for n, sources in enumerate(found) for i, s in enumerate(sources)]
+    entries = spark.read.parquet(f"{at}/cache").agg(F.count(F.lit(1)).alias("entries"))
+    return spark.createDataFrame(rows, "time long, rank long, file_path string, reach long").withColumn("entries", entries.scalar())
+
+
+def generated_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers by a model that tells, behind some thinking, how many sources it was shown; blank questions have a fixed one."""
+
+    def make():
+        return lambda messages, most: f"<think>let me see</think> {messages[1]['content'].count('[Source ')} sources, {most} tokens \n"
+
+    n = F.col("item_id")
+    span = lambda i: F.struct(F.concat(F.lit("d/"), (n * i * 3).cast("string")).alias("file_path"), F.lit(0).alias("first_character_index"), F.lit(40).alias("last_character_index"))
+    results = _table(spark, d, "benchmark").select(n.cast("string").alias("question_id"), F.when(n % 4 == 1, " ").otherwise(F.col("text")).alias("question"), F.array(*map(span, (1, 2, 3, 4))).alias("retrieved_sources"))
+    docs = _table(spark, d, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"))
+    return generate(results, docs, make).select("question_id", "answer")
+
+
+def blank_questions(spark: SparkSession, d: str) -> DataFrame:
+    """A batch in which some questions are blank or have no term: all keep their row, with so many hits."""
+    questions = _questions(spark, d).withColumn("question", F.when(F.col("question_id").cast("long") % 3 == 0, " \n").when(F.col("question_id").cast("long") % 3 == 1, "? !").otherwise(F.col("question")))
+    corpus = _corpus(spark, d).withColumn("first_character_index", F.lit(0)).withColumn("last_character_index", F.length("content"))
+    hits = Lexical(bm25.build(corpus)).retrieve(questions, 5)
+    return evaluate.nest(questions, hits, corpus).select("question_id", F.size("retrieved_sources").cast("long").alias("n"))
+
+
 # Syntax units by the lengths of the pieces that a file is made of.
 SYNTAX = r"""
 WITH pieces AS (
@@ -242,9 +288,23 @@ FROM (SELECT doc_id, {STRIP.format(x="substr(text, doc_id % 97 + 1, doc_id % 311
         "indexed_files": FILES.format(more="''"),
         "reindexed_files": FILES.format(more="CASE WHEN item_id % 3 = 0 THEN ' and more' ELSE '' END"),
         "searched_files": FOUND,
+        "reindex_counts": """WITH kept AS (SELECT item_id, item_id % 5 <> 1 AND item_id % 3 = 0 AS other FROM benchmark WHERE item_id % 5 <> 3 AND item_id % 11 <> 3)
+SELECT CASE WHEN item_id = 0 THEN 'deleted' WHEN other THEN 'changed' ELSE 'unchanged' END AS status, count(*) AS n FROM kept GROUP BY ALL UNION ALL SELECT 'added', 1""",
+        "cached_search": _with(
+            ITEMS.format(more="''"),
+            "chunks AS (SELECT row_number() OVER (ORDER BY string_split(file_path, '/')) AS chunk_id, file_path, substr(content, 1, length(content) - (item_id % 5 = 1)::INTEGER) AS content FROM items)",
+            f"questions AS (SELECT 'q' AS question_id, '{ONE_QUERY}' AS question)", INDEX.format(of="chunks"), SCORES,
+            select="SELECT time, rank, file_path, length(content) AS reach, 1::BIGINT AS entries FROM ranked JOIN chunks USING (chunk_id), (VALUES (1::BIGINT), (2::BIGINT)) t(time) WHERE rank <= 4",
+        ),
+        "generated_answers": """SELECT item_id::VARCHAR AS question_id, CASE WHEN item_id % 4 = 1 THEN 'No question provided.' ELSE
+  (SELECT count(*) FROM documents d, (VALUES (1), (2), (3)) t(i) WHERE d.doc_id = item_id * i * 3 AND regexp_matches(substr(d.text, 1, 40), '[^\\s\\x1c-\\x1f]')) || ' sources, 256 tokens' END AS answer FROM benchmark""",
+        "blank_questions": _with(
+            CORPUS, "questions AS (SELECT item_id::VARCHAR AS question_id, CASE item_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN '? !' ELSE text END AS question FROM benchmark)", INDEX.format(of="corpus"), SCORES,
+            select="SELECT q.question_id, count(r.chunk_id) AS n FROM questions q LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r USING (question_id) GROUP BY q.question_id",
+        ),
     }
 
 
 def queries() -> dict:
-    own = (syntax_units, span_text, prompt_texts, chunk_numbers, vector_table, mean_pooling, json_dataset, json_results, answer_context, nested_results, indexed_files, reindexed_files, searched_files)
+    own = (syntax_units, span_text, prompt_texts, chunk_numbers, vector_table, mean_pooling, json_dataset, json_results, answer_context, nested_results, indexed_files, reindexed_files, searched_files, reindex_counts, cached_search, generated_answers, blank_questions)
     return {f.__name__: f for f in own}
