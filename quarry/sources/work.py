@@ -35,6 +35,11 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Of the driver. Spark removes shuffle files and broadcasts only when the plans that made them are collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Work:
     """Tables of one run: each is written and read back, which cuts its lineage, so that lost executors do no harm. What no later table reads is dropped."""
 
@@ -51,10 +56,13 @@ class Work:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Delete tables, and what their plans have left."""
         for name in names:
             delete(self.spark, f"{self.at}/{name}")
             self.names.discard(name)
             _SAVED.remove(f"{self.at}/{name}")
+        if names:
+            collect_garbage(self.spark)
 
     def keep(self, *names: str) -> None:
         """Drop all but these."""
