@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import WS_CHARS, Work
-from quarry.sources.work import delete
+from quarry.sources.work import collect_garbage, delete
 
 #: Bytes of text that a batch has for each core; runs of a level that are merged into one.
 CORE_BYTES, FANOUT = 64 << 20, 2
@@ -103,6 +103,7 @@ class LineRuns:
                 self.levels.append([])
             self.levels[k + 1].append(self._compacted(self.levels[k]))
             self.levels[k] = []
+        collect_garbage(self.spark)  # once a batch
         return self._read(name).filter("seen").select("h1", "h2", "n")
 
     def drop(self) -> None:

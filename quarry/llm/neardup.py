@@ -174,30 +174,20 @@ def _sets(k: int):
     return fn
 
 
-def _likely(percent: int):
-    """Pairs (a, b) whose estimate is not more than 6 standard deviations below the threshold."""
+def _linked(percent: int):
+    """Pairs (a, b) whose estimate is not more than 6 standard deviations below the threshold, and whose full sets reach it."""
     p = percent / 100
 
     def fn(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in (4, 5))
-            low = p - 6 * np.sqrt(p * (1 - p) / np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1)))
-            yield batch.filter(pa.array(jaccard_estimate(a, b, n, m) >= low)).select([0, 1])
-
-    return fn
-
-
-def _linked(percent: int):
-    """Pairs (a, b) whose full sets reach the threshold."""
-
-    def fn(batches):
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                one, two = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                ok[i] = 100 * both >= percent * (len(one) + len(two) - both)
+            ok = jaccard_estimate(a, b, n, m) >= p - 6 * np.sqrt(p * (1 - p) / np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1)))
+            for i in np.flatnonzero(ok):
+                both = len(np.intersect1d(batch.column(6)[i].values.to_numpy(), batch.column(7)[i].values.to_numpy(), assume_unique=True))
+                ok[i] = 100 * both >= percent * (n[i] + m[i] - both)
             yield batch.filter(pa.array(ok)).select([0, 1])
 
     return fn
@@ -212,8 +202,9 @@ def _is_flat(e: DataFrame) -> bool:
 
 def components(edges: DataFrame, work: Work, name: str) -> DataFrame:
     """id, label of each node of edges (a, b) but the least of a component, which is the label. Alternates large and small stars, all in tables."""
-    e, turn = work.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0"), 0
-    while not _is_flat(e):
+    e, turn = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), 0
+    e = work.save(e, f"{name}-0")
+    while turn == 0 or not _is_flat(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
@@ -224,6 +215,14 @@ def components(edges: DataFrame, work: Work, name: str) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """id, label of each node of links (a, b): the one of least hash within two links of it. Nodes of one label are of one component, but not the other way round."""
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = ends.unionByName(links.select("a", F.col("a").alias("b"))).unionByName(links.select(F.col("b").alias("a"), "b")).distinct()
+    one = ends.groupBy("a").agg(_least("b").alias("l")).select(F.col("a").alias("b"), "l")
+    return ends.join(one, "b").groupBy("a").agg(_least("l").alias("label")).select(F.col("a").alias("id"), "label")
+
+
 def _parts(c: Column) -> Column:
     """In how many parts c members are dealt."""
     return F.ceil(c / SHARE).cast("int")
@@ -240,16 +239,12 @@ def _every_part(rows: DataFrame, parts: str) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, work: Work, name: str) -> DataFrame:
     """The links (a, b) among saved pairs (a, b), estimated on sketches and then compared in full. b, which many may share, is dealt in parts."""
-    of = lambda c, what: sets.select(F.col("id").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in what])
-    both = pairs.join(of("a", ("n", "regs")), "a").join(of("b", ("n", "regs")), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-    likely = work.save(both.mapInArrow(_likely(percent), "a long, b long"), f"{name}-likely")
-    shares = likely.groupBy("b").agg(_parts(F.count(F.lit(1))).alias("parts"))
-    one = likely.join(shares, "b").withColumn("part", _part("a", "parts")).drop("parts").join(of("a", ("members",)), "a")
-    two = _every_part(shares, "parts").join(of("b", ("members",)), "b")
-    both = one.join(two, ["b", "part"]).select("a", "b", "members_a", "members_b")
-    links = work.save(both.mapInArrow(_linked(percent), "a long, b long"), f"{name}-links")
-    work.drop(f"{name}-likely")
-    return links
+    of = lambda c: sets.select(*[F.col(w).alias(c if w == "id" else f"{w}_{c}") for w in ("id", "n", "regs", "members")])
+    shares = pairs.groupBy("b").agg(_parts(F.count(F.lit(1))).alias("parts"))
+    one = pairs.join(shares, "b").withColumn("part", _part("a", "parts")).drop("parts").join(of("a"), "a")
+    two = _every_part(shares, "parts").join(of("b"), "b")
+    both = one.join(two, ["b", "part"]).select("a", "b", *[f"{w}_{c}" for w in ("n", "regs", "members") for c in "ab"])
+    return work.save(both.mapInArrow(_linked(percent), "a long, b long"), f"{name}-links")
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
@@ -348,12 +343,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = work.save(sets, "sets")
     stars = work.save(rows.filter((F.col("id") != F.col("hub")) & _fits(F.col("n"), F.col("hub_n"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     links = _confirm(stars, sets, percent, work, "star")
-    labels = components(links, work, "first")
+    labels = work.save(_near_labels(links), "labels")
     groups = work.save(_groups(rows.select("key", "id", "n"), labels), "groups")
     work.drop("buckets", "stars")
     central, members = _central(_deltas(groups, sets, percent, work), percent, work)
     more = _confirm(_met(members, percent, work), sets, percent, work, "met")
-    labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(central).unionByName(more), work, "last")
+    labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(links).unionByName(central).unionByName(more), work, "parts")
     of_rep = work.save(same.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("component")), "components")
     work.keep("base", "components")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))

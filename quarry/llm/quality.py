@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, buffers, pieces, save
+from quarry.llm.common import Work, Words, buffers, pieces
 from quarry.llm.langid import held_out
 
 TABLE = 1 << 16
@@ -176,7 +176,8 @@ def fitted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tu
     n = usable.count()
     some = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) * F.lit(n) < F.lit(max_train * (1 << 30)).cast("long"))
     # About max_train rows of 12 bytes: the bound of this broadcast.
-    drawn = save(docs.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text").mapInArrow(_extract, "doc_id long, label int, features array<int>"), "quality-sample")
+    work = Work(docs.sparkSession, "quality")
+    drawn = work.save(docs.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text").mapInArrow(_extract, "doc_id long, label int, features array<int>"), "sample")
     # Sizes first: those documents come to the driver, in order of hash, that hold MAX_INDICES in all.
     order = F.xxhash64("doc_id", F.lit(31))
     sizes = drawn.select(order.alias("at"), F.size("features").alias("n")).toArrow().sort_by("at")
@@ -189,6 +190,7 @@ def fitted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tu
     model = fit(rows, drawn.column("label").to_numpy().astype(np.int64) if drawn.num_rows else np.zeros(0, np.int64))
     del drawn, flat, rows
     pa.default_memory_pool().release_unused()  # of the driver, which keeps the session
+    work.drop("sample")
     return model
 
 
