@@ -41,7 +41,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % CANDIDATE_LEAST)
 KINDS = ("assign", "access", "hex")
 METHOD = "grammar"
 
-SAMPLE = 250
+#: Labelled values of a kind that an automaton is made of, at most, and shares in which they are looked for.
+SAMPLE, SHARES = 250, 64
 ALPHA = 0.01
 #: Share of labelled credentials that a threshold may turn away.
 MISSED = 0.02
@@ -230,8 +231,11 @@ def _report(shared):
 def learn(found: DataFrame, sample: int = SAMPLE) -> Grammar:
     """From scanned documents: `sample` distinct values of each kind at most come to the driver, and a count for each letter."""
     values = found.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
-    # The rank's limit is taken in each task before its shuffle, so a kind's values don't meet.
-    least = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+    # Ranked within shares of a kind first, so that no task meets more than SHARES times the sample.
+    order = (F.xxhash64("value"), "value")
+    values = values.withColumn("share", F.pmod(F.xxhash64(F.lit(5), "value"), F.lit(SHARES)))
+    values = values.withColumn("at", F.row_number().over(Window.partitionBy("kind", "share").orderBy(*order))).filter(F.col("at") <= sample)
+    least = Window.partitionBy("kind").orderBy(*order)
     labelled: dict[int, list[str]] = {k: [] for k in range(3)}
     for r in values.withColumn("at", F.row_number().over(least)).filter(F.col("at") <= sample).orderBy("kind", "at").collect():
         labelled[r.kind].append(r.value)
