@@ -42,9 +42,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def pick(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """About `most` rows of each value of `by` (doc_id and by; rows of null are left out), chosen by hash of doc_id."""
+    """About `most` rows of each value of `by` (doc_id and by; rows of null are left out), chosen by hash of doc_id. The values are few: a count for each is broadcast, so that no text is shuffled."""
     rows = rows.filter(F.col(by).isNotNull() & F.col("doc_id").isNotNull())
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    counts = F.broadcast(rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")))
     return rows.join(counts, by).filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) * F.col("_n") < F.lit(most * (1 << 30)).cast("long")).drop("_n")
 
 
