@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,6 +39,22 @@ def delete(spark: SparkSession, path: str) -> None:
 def collect_garbage(spark: SparkSession) -> None:
     """Of the driver. Spark removes shuffle files and broadcasts only when the plans that made them are collected."""
     spark.sparkContext._jvm.System.gc()
+    release_native(spark)
+
+
+def release_native(spark: SparkSession) -> str:
+    """Give the driver's system what its JVM has freed outside the heap, which the C library keeps for each of some hundred threads else. Result: what the JVM says of it; empty if it has no such command (OpenJDK for Linux has, from 17.0.9 on)."""
+    gateway = spark.sparkContext._gateway
+    jvm = gateway.jvm
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # Its class is not open to reflection, which py4j uses; the interface is.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return invoke.invoke(server, args)
+    except Py4JError:
+        return ""
 
 
 class Work:
@@ -53,6 +70,7 @@ class Work:
         df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
         self.names.add(name)
         _SAVED.append(path)
+        release_native(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

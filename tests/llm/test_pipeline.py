@@ -1,3 +1,6 @@
+import shutil
+import subprocess
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +8,7 @@ import corpus_pipeline as pipeline
 from quarry.llm.common import save
 from quarry.llm.mixing import mix_sources
 from quarry.llm.quality import classify
+from quarry.sources import work
 from tests.llm.helpers import corpus, frame
 from tests.llm.test_decontam import plain_tiles, toks
 from tests.llm.test_linededup import brute as line_brute
@@ -136,3 +140,15 @@ def test_empty_and_clashing(spark, sf_dir):
         clash = frame(spark, [(1, "a few words here", "xx", "a", 16)]).withColumns({c: F.lit(1) for c in ("score", "n_lines", "kept", "size", "label", "copies")})
         out = stage(spark, clash, sf_dir)
         assert out.columns[: len(clash.columns)] == clash.columns and out.count() >= 1
+
+
+def test_driver_gives_back_native_memory(spark, monkeypatch):
+    """Freed memory outside the heap goes back whenever a table is saved or dropped, not only when a run is over; a JVM without the command does no harm."""
+    said, release = [], work.release_native
+    monkeypatch.setattr(work, "release_native", lambda s: said.append(release(s)) or said[-1])
+    tables = work.Work(spark, "some")
+    assert tables.save(spark.range(5), "a").count() == 5 and len(said) == 1
+    tables.drop("a")
+    assert len(said) == 2 and all(x == "" or x.startswith("Trim native heap") for x in said)
+    if shutil.which("jcmd") and "System.trim_native_heap" in subprocess.run(["jcmd", str(spark.sparkContext._jvm.ProcessHandle.current().pid()), "help"], capture_output=True, text=True).stdout:
+        assert all(said)
