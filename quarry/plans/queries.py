@@ -48,9 +48,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_single_query(spark: SparkSession, d: str) -> DataFrame:
     one = spark.createDataFrame([("q", ONE_QUERY)], "question_id string, question string")
-    index = bm25.build(_corpus(spark, d))
-    scores = bm25.score(one, bm25.pruned(index.postings, one), index.term_stats, index.corpus_stats, True)
-    return scores.orderBy(F.round("score", 9).desc(), "chunk_id").limit(K).select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+    hits = bm25.retrieve(bm25.build(_corpus(spark, d)), one, K)
+    return hits.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def _spans(chunks: DataFrame) -> DataFrame:

@@ -158,3 +158,49 @@ def test_nest_keeps_questions_without_hits(spark):
     hits = spark.createDataFrame([("0", 1, 0.5, 1), ("0", 0, 0.4, 2)], schemas.HITS)
     got = {r.question_id: [s.file_path for s in r.retrieved_sources] for r in evaluate.nest(ask(spark, "x", ""), hits, chunks).collect()}
     assert got == {"0": ["src/f1.py", "src/f0.py"], "1": []}
+
+
+def ranked(hits):
+    return sorted((r.question_id, r.rank, r.chunk_id, round(r.score, 9)) for r in hits.collect())
+
+
+def test_ranking_shuffles_only_the_best(spark, monkeypatch):
+    """Texts in a scan, stored postings and the joined scores rank alike, in any number of blocks and tiles, and neither a posting nor a score for each question and chunk is saved or shuffled."""
+    import random
+
+    from quarry.operators import ranking
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = corpus(spark, *[" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(300)]).repartition(3).cache()
+    asked = ask(spark, *[" ".join(rng.choices(words, k=6)) for _ in range(30)], "", "zzz")
+    index = bm25.build(docs)
+    stored = bm25.LexicalIndex(docs, index.postings, index.term_stats, index.corpus_stats)
+    want = ranked(bm25.top_k(bm25.score(asked, index.postings, index.term_stats, index.corpus_stats), 5))
+    assert len(want) == 150
+    for cells, chars in ((1 << 19, 1 << 20), (64, 100)):
+        monkeypatch.setattr(ranking, "CELLS", cells)
+        monkeypatch.setattr(bm25, "BLOCK_CHARS", chars)
+        assert ranked(bm25.retrieve(index, asked, 5)) == ranked(bm25.retrieve(stored, asked, 5)) == want
+    monkeypatch.setattr(bm25, "BLOCK_CHARS", 1 << 20)
+    hits = bm25.retrieve(index, asked, 5)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_best_holds_a_bounded_number_of_scores():
+    from quarry.operators.ranking import Best
+
+    rng = np.random.default_rng(1)
+    scores = rng.integers(0, 6, (7, 500)).astype(float)
+    scores[2, :] = -np.inf
+    scores[3, 40] = np.nan
+    ids = rng.permutation(500)
+    best = Best(7, 5)
+    for a in range(0, 500, 13):
+        best.offer(scores[:, a : a + 13], ids[a : a + 13])
+    rows = [r for b in best.batches([str(i) for i in range(7)]) for r in b.to_pylist()]
+    for q in range(7):
+        key = lambda j: (-np.inf if np.isnan(scores[q, j]) else -scores[q, j], ids[j])
+        want = [int(ids[j]) for j in sorted(range(500), key=key)[:5] if scores[q, j] > -np.inf or np.isnan(scores[q, j])]
+        assert [r["chunk_id"] for r in rows if r["question_id"] == str(q)] == want
