@@ -13,8 +13,11 @@ from quarry.functions import text as T
 from quarry.operators import bm25, chunking, context, evaluate, fusion, incremental, vectors
 from quarry.operators.cache import lookup
 from quarry.sources.files import supported
+from quarry.sources.work import save
 
 K = 10
+#: Pairs of a document and words of a text it may hold are broadcast up to so many (some 50 MB); more are joined by shuffle.
+BROADCAST_PAIRS = 1_000_000
 ONE_QUERY = "the of and thing erble tion"
 SYSTEM = "Answer from the context."
 
@@ -107,14 +110,18 @@ def _truth(spark: SparkSession, d: str) -> DataFrame:
     A document that holds a text has the second to fourth of its words, split at
     spaces, too. Documents meet the texts on those, by hash; what meets is compared in
     full. Texts of fewer than five words, of which there are few, meet all documents.
+    Which documents have which of those words is saved without any text, and broadcast
+    up to a checked number, so that no document is shuffled.
     """
     questions, corpus = _questions(spark, d).withColumn("w", F.split("question", " ")), _corpus(spark, d)
     seeds = questions.filter(F.size("w") >= 5).select("question_id", "question", F.xxhash64(*[F.get("w", F.lit(i)) for i in (1, 2, 3)]).alias("seed"))
     w = F.split("content", " ")
     threes = corpus.select("chunk_id", F.explode(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b"), F.slice(w, 3, F.size(w)).alias("c"))).alias("t"))
-    met = threes.select("chunk_id", F.xxhash64("t.a", "t.b", "t.c").alias("seed")).join(seeds, "seed").select("chunk_id", "question_id", "question").distinct()
+    met = threes.select("chunk_id", F.xxhash64("t.a", "t.b", "t.c").alias("seed")).join(seeds.select("seed"), "seed", "left_semi").distinct()
+    met = save(met, "met")
+    met = F.broadcast(met) if met.count() <= BROADCAST_PAIRS else met
     held = F.expr("contains(content, question)")
-    hits = corpus.join(met, "chunk_id").filter(held).select("question_id", "question", "file_path", "content")
+    hits = corpus.join(met, "chunk_id").join(seeds, "seed").filter(held).select("question_id", "question", "file_path", "content")
     short = corpus.join(questions.filter(F.size("w") < 5), held).select("question_id", "question", "file_path", "content")
     hits = hits.unionByName(short).withColumn("at", F.expr("locate(question, content)"))
     return hits.select("question_id", "question", "file_path", (F.col("at") - 1).cast("int").alias("first_character_index"), (F.col("at") - 1 + F.length("question")).cast("int").alias("last_character_index"))

@@ -258,3 +258,16 @@ def test_stream(spark, tmp_path):
     put([("a.md", "changed"), ("b.md", None), ("c.md", "three")])
     stream()
     assert sorted((r.file_path, r.content) for r in latest(spark, out).collect()) == [("a.md", "changed"), ("c.md", "three")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_true_spans_shuffle_no_text(spark):
+    """Documents meet the texts' words by a broadcast of pairs, whatever the sizes that Spark estimates."""
+    from quarry.plans import queries as engine
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = engine._truth(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(chunk_id" not in plan
