@@ -1,8 +1,9 @@
 """Vector search: unit vectors, inner products, and ranks.
 
 Question vectors are a stated query set: their matrix goes to the workers in
-blocks of a checked size, and each block meets each batch of vectors in one matrix
-product, of which a batch keeps its k best a question. Only those are shuffled.
+blocks of a checked size, and each block meets the vectors in matrix products of a
+bounded number of scores, whatever the number of questions. A task keeps its k best
+a question. Only those are shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import embedding_text, l2_normalize
+from quarry.operators.ranking import HITS, Best, tile_rows
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Vectors that a worker multiplies at once, at most.
+TILE_ROWS = 1024
 
 
 def normalized(vectors: DataFrame) -> DataFrame:
@@ -27,16 +31,15 @@ def normalized(vectors: DataFrame) -> DataFrame:
 
 def _best(shared, k: int):
     def fn(batches):
-        ids, matrix = shared.value
+        names, matrix = shared.value
+        best = Best(len(names), k)
+        step = min(TILE_ROWS, tile_rows(len(names)))
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            flat = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-            chunk = batch.column(0).to_numpy()
-            order = np.argsort(chunk, kind="stable")
-            scores = np.round(matrix @ flat[order].T, 9)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1]), pa.string()), pa.array(chunk[order][best].reshape(-1)), pa.array(np.take_along_axis(scores, best, axis=1).reshape(-1))], ["question_id", "chunk_id", "score"])
+            for start in range(0, batch.num_rows if names else 0, step):
+                rows = batch.slice(start, step)
+                flat = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+                best.offer(np.round(matrix @ flat.T, 9), rows.column(0).to_numpy())
+        yield from best.batches(names)
 
     return fn
 
@@ -48,10 +51,10 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_bytes: in
     n = max(1, -(-size // block_bytes))
     hits = None
     for b in range(n):
-        block = queries.filter(F.pmod(F.xxhash64("question_id"), F.lit(n)) == b).toPandas()
-        matrix = np.array(block.embedding.tolist(), np.float64)
-        shared = vectors.sparkSession.sparkContext.broadcast((block.question_id.to_numpy(), matrix))
-        some = vectors.select(F.col("chunk_id").cast("long"), "embedding").mapInArrow(_best(shared, max(0, k)), "question_id string, chunk_id long, score double")
+        block = queries.filter(F.pmod(F.xxhash64("question_id"), F.lit(n)) == b).toArrow()
+        matrix = block.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(max(1, block.num_rows), -1)
+        shared = vectors.sparkSession.sparkContext.broadcast((block.column("question_id").to_pylist(), matrix))
+        some = vectors.select(F.col("chunk_id").cast("long"), "embedding").mapInArrow(_best(shared, max(1, k)), HITS)
         hits = some if hits is None else hits.unionByName(some)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(0, k))

@@ -204,3 +204,20 @@ def test_best_holds_a_bounded_number_of_scores():
         key = lambda j: (-np.inf if np.isnan(scores[q, j]) else -scores[q, j], ids[j])
         want = [int(ids[j]) for j in sorted(range(500), key=key)[:5] if scores[q, j] > -np.inf or np.isnan(scores[q, j])]
         assert [r["chunk_id"] for r in rows if r["question_id"] == str(q)] == want
+
+
+def test_vector_tiles_are_bounded_by_questions(monkeypatch):
+    """A worker never holds scores of all questions for a whole batch of vectors."""
+    import pyarrow as pa
+
+    from quarry.operators import ranking
+
+    rng = np.random.default_rng(2)
+    matrix, v = rng.normal(size=(3000, 4)), rng.normal(size=(5000, 4))
+    shapes = []
+    offer = ranking.Best.offer
+    monkeypatch.setattr(ranking.Best, "offer", lambda self, scores, ids: (shapes.append(scores.size), offer(self, scores, ids))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(v.tolist())], ["chunk_id", "embedding"])
+    shared = type("Shared", (), {"value": ([str(i) for i in range(3000)], matrix)})
+    rows = sum(b.num_rows for b in vectors._best(shared, 3)(iter([batch, batch])))
+    assert rows == 9000 and max(shapes) <= ranking.CELLS
